@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, quality
+from . import chat, embed, langid, minhash, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
+    "op3_embedding_dedup": embed.query,
     "op5_chat_formatting": chat.query,
+    "op6_minhash_dedup": minhash.query,
     "op8_quality_rules": quality.query,
     "op10_source_mixing": mixing.query,
 }
