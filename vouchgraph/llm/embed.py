@@ -34,8 +34,8 @@ def _collide(distance: float) -> float:
 
 
 def plan(n: int, least: float = LEAST_COSINE) -> tuple[int, int]:
-    """Projections a table and tables for n vectors; "unrelated" is a cosine of 0.3 below ``least`` or less."""
-    near, far = _collide(math.sqrt(2 - 2 * least)), _collide(math.sqrt(2 - 2 * (least - 0.3)))
+    """Projections a table and tables for n vectors; unrelated vectors are about orthogonal."""
+    near, far = _collide(math.sqrt(2 - 2 * least)), _collide(math.sqrt(2))
     k = max(6, math.ceil(math.log(max(n, 2) / CROWD) / -math.log(far))) if n > CROWD else 6
     return k, max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - near**k)))
 
