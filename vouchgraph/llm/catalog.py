@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embed, langid, minhash, mixing, quality
+from . import bpe, chat, embed, langid, minhash, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": chat.query,
     "op6_minhash_dedup": minhash.query,
     "op8_quality_rules": quality.query,
+    "op9_bpe_encoding": bpe.query,
     "op10_source_mixing": mixing.query,
 }
 
