@@ -1,9 +1,10 @@
 """Quality rules: log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
 Word unigrams and bigrams are hashed into BUCKETS; two multinomials are counted over them, one from all
-documents, one from the trusted ones (labels: quality 1, toxic 0). A document's score is the sum of its
+documents, one from the trusted ones (labels: quality 1, toxic 0) but for every HELD-th, by a hash of the id.
+A document's score is the sum of its
 n-grams' log ratios over (their number + PRIOR), in thousandths of a nat. The threshold is the score bin
-below which TRIM of the trusted documents lie; every document is kept iff it isn't below. All sums are of
+below which TRIM of the held-out trusted documents lie (theirs, like most documents', aren't in the target's counts); every document is kept iff it isn't below. All sums are of
 integers, so the outcome doesn't depend on partitioning.
 """
 
@@ -24,6 +25,7 @@ BUCKETS = 65_536
 PRIOR = 8
 #: Part of the trusted documents that may fall below the threshold.
 TRIM = 0.002
+HELD = 4
 _R1, _R2 = 1_000_003, 1_009
 _memo: dict[bytes, int] = {}
 _MEMO_ENTRIES = 600_000
@@ -113,13 +115,15 @@ def _bins(texts: list[bytes | None], weights: np.ndarray) -> tuple[np.ndarray, n
 
 
 def mark(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with __q_trusted; the ids are broadcast only if their counted size allows it."""
-    ids = common.checked(trusted_ids(labels).withColumn("__q_hit", F.lit(True)), 48)
-    return docs.join(ids, docs["doc_id"] == F.col("__q_id"), "left").withColumn("__q_trusted", F.col("__q_hit").isNotNull()).drop("__q_hit", "__q_id")
+    """``docs`` with __q_trusted and __q_held; the ids are broadcast only if their counted size allows it."""
+    held = common.hash60(F.col("__q_id")) % HELD == 0
+    ids = common.checked(trusted_ids(labels).withColumn("__q_out", held), 48)
+    both = docs.join(ids, docs["doc_id"] == F.col("__q_id"), "left").withColumn("__q_trusted", F.coalesce(~F.col("__q_out"), F.lit(False)))
+    return both.withColumn("__q_held", F.coalesce("__q_out", F.lit(False))).drop("__q_out", "__q_id")
 
 
 def threshold(bins: DataFrame) -> int | None:
-    """Lowest bin that is kept, from (bin) rows of the trusted documents; None without any."""
+    """Lowest bin that is kept, from (bin) rows of the held-out documents; None without any."""
     hist = bins.groupBy("bin").agg(F.count("*").alias("n"))
     running = hist.select("bin", F.sum("n").over(Window.orderBy("bin")).alias("cum"), F.sum("n").over(Window.partitionBy()).alias("total"))
     return running.where(F.col("cum") > F.floor(F.col("total") * F.lit(TRIM))).agg(F.min("bin")).first()[0]
@@ -130,7 +134,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts have no n-grams, score 0. Repeated rows count as often as they come and get one
     outcome each; a document labelled both good and bad isn't trusted. With no trusted document every score
-    is 0 and all is kept. Texts are read whole, however long. Empty input gives no rows; further columns are
+    is 0, and with none held out all is kept. Texts are read whole, however long. Empty input gives no rows; further columns are
     ignored.
     """
     spark = docs.sparkSession
@@ -140,11 +144,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             bins, sizes = _bins(common.binary_rows(b.column("text")), bc.value)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__q_trusted"), pa.array(sizes), pa.array(bins)], ["doc_id", "__q_trusted", "n_grams", "bin"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__q_held"), pa.array(sizes), pa.array(bins)], ["doc_id", "__q_held", "n_grams", "bin"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = common.stage(marked.select("doc_id", "__q_trusted", "text").mapInArrow(run, f"doc_id {kind}, __q_trusted boolean, n_grams long, bin long"), "quality")
-    least = threshold(scored.where("__q_trusted"))
+    scored = common.stage(marked.select("doc_id", "__q_held", "text").mapInArrow(run, f"doc_id {kind}, __q_held boolean, n_grams long, bin long"), "quality")
+    least = threshold(scored.where("__q_held"))
     return scored.select("doc_id", "n_grams", "bin", F.lit(True).alias("keep") if least is None else (F.col("bin") >= least).alias("keep"))
 
 
@@ -159,7 +163,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in _chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_bins(common.binary_rows(b.column(0)), bc.value)[0])], ["bin"])
 
-    least = threshold(marked.where("__q_trusted").select("text").mapInArrow(bins_only, "bin long"))
+    least = threshold(marked.where("__q_held").select("text").mapInArrow(bins_only, "bin long"))
     if least is None:
         return docs
 
@@ -179,9 +183,12 @@ SQL = r"""
 WITH good AS (
   SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
   HAVING min(CASE WHEN coalesce(quality, 0) = 1 AND coalesce(toxic, 1) = 0 THEN 1 ELSE 0 END) = 1),
+marked AS (
+  SELECT *, doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM good) AS labelled,
+         coalesce(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % 4 = 0, false) AS fourth FROM documents),
 docs AS (
-  SELECT row_number() OVER () AS k, doc_id, doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM good) AS trusted,
-         regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+') AS w FROM documents),
+  SELECT row_number() OVER () AS k, doc_id, labelled AND NOT fourth AS trusted, labelled AND fourth AS held,
+         regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+') AS w FROM marked),
 words AS (SELECT k, trusted, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM docs),
 codes AS (SELECT t, ('0x' || substr(md5(t), 1, 15))::BIGINT % 1000003 AS r FROM (SELECT DISTINCT t FROM words)),
 coded AS (SELECT k, trusted, i, r FROM words JOIN codes USING (t)),
@@ -198,10 +205,10 @@ ratios AS (
   FROM counts, totals),
 sums AS (SELECT k, count(*)::BIGINT AS n, sum(v)::BIGINT AS s FROM grams JOIN ratios USING (b) GROUP BY k),
 scored AS (
-  SELECT doc_id, trusted, coalesce(n, 0)::BIGINT AS n_grams,
+  SELECT doc_id, held, coalesce(n, 0)::BIGINT AS n_grams,
          coalesce((s - ((s % (1000 * (n + 8))) + 1000 * (n + 8)) % (1000 * (n + 8))) // (1000 * (n + 8)), 0)::BIGINT AS bin
   FROM docs LEFT JOIN sums USING (k)),
-hist AS (SELECT bin, count(*) AS c FROM scored WHERE trusted GROUP BY bin),
+hist AS (SELECT bin, count(*) AS c FROM scored WHERE held GROUP BY bin),
 cum AS (SELECT bin, sum(c) OVER (ORDER BY bin) AS cum, sum(c) OVER () AS total FROM hist),
 least AS (SELECT min(bin) AS m FROM cum WHERE cum > floor(total * 0.002::DOUBLE))
 SELECT doc_id, n_grams, bin, coalesce(bin >= m, true) AS keep FROM scored, least
