@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed, langid, minhash, mixing, quality
+from . import bpe, chat, embed, langid, minhash, mixing, pages, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
+    "op2_html_extraction": pages.query,
     "op3_embedding_dedup": embed.query,
     "op5_chat_formatting": chat.query,
     "op6_minhash_dedup": minhash.query,
+    "op7_warc_revisits": warc.query,
     "op8_quality_rules": quality.query,
     "op9_bpe_encoding": bpe.query,
     "op10_source_mixing": mixing.query,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op5_chat_formatting": chat.SQL,
+    "op7_warc_revisits": warc.SQL,
     "op8_quality_rules": quality.SQL,
     "op10_source_mixing": mixing.SQL,
 }
