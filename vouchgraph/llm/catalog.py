@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed, langid, minhash, mixing, pages, quality, warc
+from . import bpe, chat, embed, langid, lm, minhash, mixing, pages, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
     "op2_html_extraction": pages.query,
     "op3_embedding_dedup": embed.query,
+    "op4_lm_scoring": lm.query,
     "op5_chat_formatting": chat.query,
     "op6_minhash_dedup": minhash.query,
     "op7_warc_revisits": warc.query,

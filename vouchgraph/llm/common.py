@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 #: Largest side, in estimated bytes, that is ever broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 
+_worker: dict[str, Any] = {}
 _own_dir: dict[str, str] = {}
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -72,6 +75,14 @@ def hash60(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 15), 16, 10).cast("long")
 
 
+def worker_state(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks under ``name``; another name's is let go, so memory doesn't add up."""
+    if name not in _worker:
+        _worker.clear()
+        _worker[name] = make()
+    return _worker[name]
+
+
 def binary_rows(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of the rows of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -28,7 +28,7 @@ PER_LANGUAGE = 1000
 REJECT = 0.001
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, ORDER + 1)]
 _EDGE = 2  # code of a word boundary; no letter has it
-_MEMO_ENTRIES = 400_000
+_MEMO_ENTRIES = 300_000
 
 
 def letters(token: str) -> str:
@@ -186,17 +186,6 @@ class Scorer:
         return got[:, :-1], got[:, -1]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(bc, key: str) -> Scorer:
-    """The worker's scorer of this model: its memo outlives a task."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(bc.value)
-    return _scorers[key]
-
-
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Models and limits from rows of ``docs`` that have a language; None without any."""
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
@@ -265,10 +254,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     names = pa.array(model.langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(bc, key)
+        score = common.worker_state(key, lambda: Scorer(bc.value))
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
                 bits, n = score(common.binary_rows(b.column("text")))
                 best, per, ok = score.model.choose(bits, n)
                 none = pa.array(n == 0)
@@ -285,10 +274,10 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     bc, key, at = docs.sparkSession.sparkContext.broadcast(model), common.uuid.uuid4().hex, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(bc, key)
+        score = common.worker_state(key, lambda: Scorer(bc.value))
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
                 bits, n = score(common.binary_rows(b.column(at)))
                 yield b.filter(pa.array(score.model.choose(bits, n)[2]))
 

@@ -31,8 +31,7 @@ _TRIM = ".,;:!?\"'()[]"
 _rng = np.random.default_rng(20_240_601)
 _XOR = _rng.integers(1 << 32, size=VALUES, dtype=np.uint32)
 _MUL = _rng.integers(1 << 31, size=VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_memo: dict[bytes, int] = {}
-_MEMO_ENTRIES = 600_000
+_MEMO_ENTRIES = 400_000
 
 
 def _code(token: bytes) -> int:
@@ -42,16 +41,17 @@ def _code(token: bytes) -> int:
 
 def shingles(text: bytes) -> np.ndarray:
     """32-bit hashes of a text's word bigrams; of its only word if it has one."""
-    get = _memo.get
+    memo = common.worker_state("minhash", dict)
+    get = memo.get
     tokens = text.split()
     codes = [get(t) for t in tokens]
     if None in codes:
-        if len(_memo) > _MEMO_ENTRIES:
-            _memo.clear()
+        if len(memo) > _MEMO_ENTRIES:
+            memo.clear()
         for i, c in enumerate(codes):
             if c is None:
                 t = tokens[i]
-                codes[i] = _memo[t] = _code(t)
+                codes[i] = memo[t] = _code(t)
     c = np.array(codes, dtype=np.uint64)
     c = c[c != 0]
     if len(c) > 1:

@@ -27,13 +27,13 @@ PRIOR = 8
 TRIM = 0.002
 HELD = 4
 _R1, _R2 = 1_000_003, 1_009
-_memo: dict[bytes, int] = {}
-_MEMO_ENTRIES = 600_000
+_MEMO_ENTRIES = 400_000
 
 
 def _codes(tokens: list[bytes]) -> np.ndarray:
     """md5-based residue of each token; known tokens come from a memo."""
-    get = _memo.get
+    memo = common.worker_state("quality", dict)
+    get = memo.get
     found = [get(t, -1) for t in tokens]
     out = np.array(found, dtype=np.int64)
     for i in np.flatnonzero(out < 0).tolist():
@@ -41,9 +41,9 @@ def _codes(tokens: list[bytes]) -> np.ndarray:
         v = get(t, -1)
         if v < 0:
             v = int(hashlib.md5(t).hexdigest()[:15], 16) % _R1
-            if len(_memo) >= _MEMO_ENTRIES:
-                _memo.clear()
-            _memo[t] = v
+            if len(memo) >= _MEMO_ENTRIES:
+                memo.clear()
+            memo[t] = v
         out[i] = v
     return out
 
@@ -70,7 +70,7 @@ def _features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return both[both >= 0], np.where(sizes > 0, 2 * sizes - 1, 0)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
