@@ -196,12 +196,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     part = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(int(1e6 * min(1.0, per_language / n))))])
     held = F.pmod(F.xxhash64("text", "doc_id"), F.lit(5)) == 0
     sample = common.stage(labelled.where(draw < part[F.col("lang")]).withColumn("held", held).repartition(8), "langid-sample")
-    words = sample.where("not held").select("lang", F.explode(F.split("text", r"\s+")).alias("w")).groupBy("lang", "w").count().collect()
+    words = sample.where("not held").select("lang", F.explode(F.split("text", r"\s+")).alias("w")).groupBy("lang", "w").count().toArrow()
     counts: dict[str, dict[str, int]] = {}
-    for c, w, n in words:
-        if x := letters(w):
-            own = counts.setdefault(c, {})
-            own[x] = own.get(x, 0) + n
+    for b in words.to_batches(max_chunksize=50_000):
+        for c, w, n in zip(*(x.to_pylist() for x in b.columns)):
+            if x := letters(w):
+                own = counts.setdefault(c, {})
+                own[x] = own.get(x, 0) + n
+    del words
     if not counts:
         return None
     model = fit(counts)
