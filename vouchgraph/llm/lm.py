@@ -26,28 +26,30 @@ ORDERS = (2, 3, 4)
 SLOT_BITS = (19, 21, 22)
 BLOCK = 1024
 #: Blocks coded in step; only speed depends on it.
-LANES = 8192
+LANES = 12_288
 _START = (0.25, 0.35, 0.4, 0.35)
 _BUCKETS = 24
 #: Learning rates of the weights, of the order-0 logits, and of the refining map.
 _RATES, _MAP_RATE = np.array([[0.02], [0.5]], np.float32), np.float32(0.02)
 _SCALE = 15.0
 _UNIT, _ONE, _HALF = np.float32(1 / _SCALE), np.float32(1), np.float32(0.5)
-_PER, _EDGE = np.float32(_BUCKETS / 16), np.float32(_BUCKETS / 2 - 0.01)
-_SPREAD = 0x9E35
+_PER, _MIDDLE, _LOW, _HIGH = np.float32(_BUCKETS / 16), np.float32(_BUCKETS / 2), np.float32(0), np.float32(_BUCKETS - 0.01)
+_SPREAD = np.uint32(0x9E35)
+_MULTIPLY = {2: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77), 4: np.uint32(0xC2B2AE3D)}
 _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 _FLOOR = np.float32(1 / 4096)
 
 
 def _base(order: int, context: np.ndarray) -> np.ndarray:
-    """Place of a context (its last bytes, as an integer) in the table of its order, before the mask."""
-    c = context & ((1 << (8 * order)) - 1)
-    h = (c * 0x2545F4914F6CDD + order * 0x9E3779B1) & 0xFFFFFFFFFFFF
-    return ((h >> 13) ^ (h >> 27)) & 0xFFFFFFFF
+    """Place of a context (its last bytes, as a 32-bit integer) in the table of its order, before the mask."""
+    h = context & np.uint32((1 << (8 * order)) - 1)
+    h *= _MULTIPLY[order]
+    h ^= h >> np.uint32(15)
+    return h
 
 
 def _slot(i: int, base: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (base + node * _SPREAD) & ((1 << SLOT_BITS[i]) - 1)
+    return (base + node.astype(np.uint32) * _SPREAD) & np.uint32((1 << SLOT_BITS[i]) - 1)
 
 
 def _lay_out(texts: list[bytes]) -> np.ndarray:
@@ -100,11 +102,11 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, n = b.column("gram").to_numpy(), b.column("n").to_numpy().astype(np.float64)
         slots, ones, all_ = [], [], []
         for i, order in enumerate(ORDERS):
-            base = _base(order, gram >> 8)
+            base = _base(order, (gram >> 8).astype(np.uint32))
             node = np.ones(len(gram), np.int64)
             for j in range(7, -1, -1):
                 bit = (gram >> j) & 1
-                slots.append(_slot(i, base, node) + _OFFSETS[i])
+                slots.append(_slot(i, base, node).astype(np.int64) + _OFFSETS[i])
                 ones.append(n * bit)
                 all_.append(n)
                 node = node * 2 + bit
@@ -157,12 +159,12 @@ class Coder:
         weights[:] = np.array(_START, f)[None, :, None]
         own = np.zeros(lanes * 256, f)
         middle = (np.arange(_BUCKETS, dtype=np.float64) + 0.5) / _BUCKETS * 16 - 8
-        refine = np.tile((1 / (1 + np.exp(-middle))).astype(f), lanes)
-        row, row_map = np.arange(lanes) * 256, np.arange(lanes) * _BUCKETS + _BUCKETS // 2
+        refine = np.repeat((1 / (1 + np.exp(-middle))).astype(f), lanes)  # by bucket, then block: most lie in few buckets
+        row = np.arange(lanes)
         cost = np.zeros(lanes)
-        context = np.zeros(lanes, np.int64)
+        context = np.zeros(lanes, np.uint32)
         for j in range(4):
-            context = (context << 8) | a[first - 4 + j]
+            context = (context << np.uint32(8)) | a[first - 4 + j]
         active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), side="left")
         masks = np.array([[(1 << x) - 1] for x in SLOT_BITS], np.uint32)
         offsets = _OFFSETS[:-1, None].astype(np.uint32)
@@ -174,10 +176,11 @@ class Coder:
                 raw, z, zw = np.empty((k, m), np.int8), np.empty((k + 1, m), f), np.empty((k + 1, m), f)
                 xs, err, x, q, chance = np.empty((2, m), f), np.empty((2, m), f), np.empty(m, f), np.empty(m, f), np.empty(m, f)
                 node, mine, cell = np.empty(m, np.uint32), np.empty(m, np.int64), np.empty(m, np.int64)
-                rows, maps = row[:m], row_map[:m]
+                rows = row[:m]
             byte = a[first[:m] + s]
             bits = np.unpackbits(byte[None, :], axis=0)
             ones = bits.astype(f)
+            nots = _ONE - ones
             ctx = context[:m]
             for i, o in enumerate(ORDERS):
                 base[i] = _base(o, ctx)
@@ -185,14 +188,15 @@ class Coder:
             chance[:] = 1
             for j in range(8):
                 bit = ones[j]
-                np.multiply(node, np.uint32(_SPREAD), out=spread)
+                np.multiply(node, _SPREAD, out=spread)
                 np.add(base, spread, out=slot)
                 np.bitwise_and(slot, masks, out=slot)
                 np.add(slot, offsets, out=slot)
                 np.take(self.table, slot, out=raw, mode="clip")
                 z[:k] = raw
                 z[:k] *= _UNIT
-                np.add(rows, node, out=mine)
+                np.multiply(node, lanes, out=mine, dtype=np.int64)
+                mine += rows
                 np.take(own, mine, out=z[k], mode="clip")
                 w = weights[j, :, :m]
                 np.multiply(w, z, out=zw)
@@ -209,10 +213,12 @@ class Coder:
                 w += zw
                 np.add(z[k], err[1], out=z[k])
                 own[mine] = z[k]
-                np.clip(x, -_EDGE, _EDGE, out=x)
-                np.floor(x, out=x)
+                x += _MIDDLE
+                np.maximum(x, _LOW, out=x)
+                np.minimum(x, _HIGH, out=x)
                 cell[:] = x
-                cell += maps
+                cell *= lanes
+                cell += rows
                 np.take(refine, cell, out=q, mode="clip")
                 np.add(xs[0], q, out=x)
                 np.subtract(bit, q, out=err[0])
@@ -220,14 +226,14 @@ class Coder:
                 q += err[0]
                 refine[cell] = q
                 x *= _HALF
-                np.subtract(x, _ONE - bit, out=x)
+                x -= nots[j]
                 np.abs(x, out=x)  # what the bit that came had been given
                 np.maximum(x, _FLOOR, out=x)
                 chance *= x
                 node += node
                 node += bits[j]
             cost[:m] -= np.log2(chance)
-            context[:m] = ((ctx << 8) | byte) & 0xFFFFFFFF
+            context[:m] = (ctx << np.uint32(8)) | byte
         return cost
 
 
