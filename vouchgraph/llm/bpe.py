@@ -29,7 +29,7 @@ from . import common
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a block holds at least, unless its partition ends; a document is never cut.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_500_000
 _ZSTD = "zstd"
 
 
@@ -110,9 +110,8 @@ def _blocks(parts: int):
             rows = list(_block(number, parts, ids, sizes, words))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "payload"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        common.worker_state("bpe", dict)
+        for b in (x.slice(k, 250) for x in batches for k in range(0, x.num_rows, 250)):
             lists = b.column("words")
             ids.append(b.column("doc_id"))
             sizes.append(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy(zero_copy_only=False), dtype=np.int32))
@@ -194,7 +193,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = docs.select("doc_id", F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    words.mapInArrow(_blocks(max(64, 4 * buckets)), "block long, part int, payload binary").write.bucketBy(buckets, "block").option("path", common.new_path(spark, "bpe")).option("compression", "uncompressed").saveAsTable(name)
+    made = words.mapInArrow(_blocks(max(64, 4 * buckets)), "block long, part int, payload binary")
+    with common.arrow_rows(spark, 1000):
+        made.write.bucketBy(buckets, "block").option("path", common.new_path(spark, "bpe")).option("compression", "uncompressed").saveAsTable(name)
     blocks = spark.table(name)
     replies = blocks.where("part >= 0").groupBy("part").applyInArrow(_encode(pieces), "block long, part int, reply binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))

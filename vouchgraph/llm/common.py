@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -75,10 +77,24 @@ def hash60(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 15), 16, 10).cast("long")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of that many rows for what is written inside: wide rows need less memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def worker_state(name: str, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between tasks under ``name``; another name's is let go, so memory doesn't add up."""
     if name not in _worker:
         _worker.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _worker[name] = make()
     return _worker[name]
 
