@@ -144,10 +144,10 @@ class TrustEngine:
         """Public columns of (node, ``value``, cluster, position): with the reverse score of each node's owner."""
         names = g.nodes.select(F.col("node_id").alias("node"), "name")
         own = g.owners.join(g.nodes.select(F.col("name").alias("object_owner"), F.col("node_id").alias("owner_id")), "object_owner", "left").select("name", "owner_id")
-        shown = rows.join(names, "node").join(own, "name", "left")
+        shown = staging.stage(rows.select("node", value, "cluster", "position"), "page").join(names, "node").join(own, "name", "left")
         if self.settings.reverse == "full":
             owners = staging.stage(shown.where("owner_id is not null").select(F.col("owner_id").alias("ego")).distinct(), "owners")
-            back = g.blended(g.calculate(owners))
+            back = staging.stage(g.blended(g.calculate(owners)), "reverse")
             both = scores.clustered(back.where(F.col("node") == ego), g.nodes, g.bounds(back), by_ego_kind=True)
             both = both.select(F.col("ego").alias("owner_id"), F.col("score").alias("rs"), F.col("cluster").alias("rc"))
             shown = shown.join(both, "owner_id", "left")
