@@ -6,8 +6,8 @@ import numpy as np
 
 from . import rng
 
-#: Walks advanced together.
-CHUNK = 200_000
+#: Walks advanced together: few enough that their visits stay in cache.
+CHUNK = 10_000
 
 
 class Adjacency:
@@ -60,7 +60,8 @@ def hits(adj: Adjacency, ego: np.ndarray, number: np.ndarray, seed: int, alpha:
     """(ego, node, walks that hit it positively, negatively), each walk counted once a node and phase."""
     index, node, phase = walk(adj, ego, number, seed, alpha)
     width = int(node.max(initial=0)) + 1
-    once = np.unique((index * width + node) * 2 + phase)
+    once = np.sort((index * width + node) * 2 + phase)
+    once = once[np.concatenate([[True], once[1:] != once[:-1]])]
     phase, rest = once & 1, once >> 1
     key = ego[rest // width] * width + rest % width
     keys, which = np.unique(key, return_inverse=True)
