@@ -330,6 +330,32 @@ def test_lm_matches_slow_coder(spark):
     assert {r[0]: r[1] for r in got} == slow
 
 
+def test_lm_contexts_never_share_counts(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(500))) for i in range(40)], "doc_id long, text string")
+    table = lm.train(docs)
+    ones, n = Counter(), Counter()
+    for r in docs.collect():
+        t = b"\0\0\0\0" + r["text"].encode()
+        for i in range(4, len(t)):
+            for k, o in enumerate(lm.ORDERS):
+                for j in range(8):
+                    key = (k, int.from_bytes(t[i - o : i], "big"), (t[i] | 256) >> (8 - j))
+                    n[key] += 1
+                    ones[key] += t[i] >> (7 - j) & 1
+    for k, o in enumerate(lm.ORDERS):
+        keys = [x for x in n if x[0] == k]
+        base = lm._base(o, np.array([x[1] for x in keys], np.uint32)).astype(np.int64)
+        slot = ((base + np.array([x[2] for x in keys]) * int(lm._SPREAD)) & ((1 << lm.SLOT_BITS[k]) - 1)) + lm._OFFSETS[k]
+        p = np.array([(ones[x] + 0.4) / (n[x] + 0.8) for x in keys])
+        assert np.array_equal(table[slot], np.clip(np.round(np.log(p / (1 - p)) * lm._SCALE), -127, 127))
+    whole = {r["doc_id"]: r["bits"] for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "GROUP_BYTES", 5000)  # many groups look their grams up: nothing changes
+    assert {r["doc_id"]: r["bits"] for r in lm.score(docs).collect()} == pytest.approx(whole, abs=0.01)
+    texts = [r["text"].encode() for r in docs.orderBy("doc_id").collect()]
+    assert lm.Coder(table).bits(texts) == pytest.approx([whole[i] for i in range(len(texts))], abs=0.01)
+
+
 def test_lm_scores(spark):
     docs = corpus(spark)
     got = lm.score(docs)

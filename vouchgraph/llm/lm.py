@@ -1,9 +1,13 @@
 """Language-model scoring by online logistic context mixing.
 
-Bit predictors of orders 2 to 4 look up what the whole corpus has after a context: byte 5-grams are counted
-over all documents and folded into hashed tables of bit counts. A predictor of order 0 learns within the
-text. Their logits are mixed with weights gated by the bit's place in its byte; the weights learn after every
-bit, and an adaptive map refines the mixed probability. The cost of all bits over the bytes is the score.
+Bit predictors of orders 2 to 4 look up what the whole corpus has after a context: byte 3-, 4- and 5-grams are
+counted over all documents. A predictor of order 0 learns within the text. Their logits are mixed with weights
+gated by the bit's place in its byte; the weights learn after every bit, and an adaptive map refines the mixed
+probability. The cost of all bits over the bytes is the score.
+
+The counts are a partitioned table that grows with the corpus, keyed by the exact context, so no two contexts
+ever share one. No task holds it whole: documents form groups of about GROUP_BYTES; each group sends its distinct
+grams to the partitions of the table and gets their logits back.
 
 Texts are coded in blocks of BLOCK bytes: what is learned online starts anew in each, contexts reach back
 across its edge. So thousands of blocks, of any documents, are coded in step, and a document's score depends
@@ -22,11 +26,13 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDERS = (2, 3, 4)
-#: Slots of the hashed tables, as powers of two.
-SLOT_BITS = (19, 21, 22)
+#: Bits of a bit context's exact key: the order's bytes, then eight for the node. Its slot is this key.
+SLOT_BITS = (24, 32, 40)
 BLOCK = 1024
 #: Blocks coded in step; only speed depends on it.
-LANES = 12_288
+LANES = 4096
+#: Bytes of text whose documents look up their grams together.
+GROUP_BYTES = 16 << 20
 _START = (0.25, 0.35, 0.4, 0.35)
 _BUCKETS = 24
 #: Learning rates of the weights, of the order-0 logits, and of the refining map.
@@ -34,22 +40,20 @@ _RATES, _MAP_RATE = np.array([[0.02], [0.5]], np.float32), np.float32(0.02)
 _SCALE = 15.0
 _UNIT, _ONE, _HALF = np.float32(1 / _SCALE), np.float32(1), np.float32(0.5)
 _PER, _MIDDLE, _LOW, _HIGH = np.float32(_BUCKETS / 16), np.float32(_BUCKETS / 2), np.float32(0), np.float32(_BUCKETS - 0.01)
-_SPREAD = np.uint32(0x9E35)
-_MULTIPLY = {2: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77), 4: np.uint32(0xC2B2AE3D)}
+_SPREAD = np.uint64(1)
 _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 _FLOOR = np.float32(1 / 4096)
+_TAG = 40
 
 
 def _base(order: int, context: np.ndarray) -> np.ndarray:
-    """Place of a context (its last bytes, as a 32-bit integer) in the table of its order, before the mask."""
-    h = context & np.uint32((1 << (8 * order)) - 1)
-    h *= _MULTIPLY[order]
-    h ^= h >> np.uint32(15)
-    return h
+    """Key of a context (its last bytes, as a 32-bit integer) in the table of its order, with the node still zero."""
+    return (context.astype(np.uint64) & np.uint64((1 << (8 * order)) - 1)) << np.uint64(8)
 
 
-def _slot(i: int, base: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (base + node.astype(np.uint32) * _SPREAD) & np.uint32((1 << SLOT_BITS[i]) - 1)
+def _gram(order: int, gram: np.ndarray) -> np.ndarray:
+    """The last bytes of 5-grams: a context of that order and the byte after it."""
+    return gram & ((1 << (8 * order + 8)) - 1)
 
 
 def _lay_out(texts: list[bytes]) -> np.ndarray:
@@ -96,49 +100,201 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000]), pa.array(counts[k : k + 200_000])], ["gram", "n"])
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of zeros and ones in each slot, from 5-grams."""
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ones of sorted keys, the sums of n over each, and which of them each row has."""
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n, np.cumsum(new) - 1
+
+
+def _logits(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logits in 1/_SCALE of the eight nodes on the way to each gram's last byte; grams are sorted, contexts whole."""
+    out = np.empty((len(grams), 8), np.int8)
+    _, sums, which = _sums(grams >> 8, n)
+    here = sums[which]
+    for j in range(8):
+        _, sums, which = _sums(grams >> (7 - j), n)
+        below = sums[which]
+        one = np.where((grams >> (7 - j)) & 1 == 1, below, here - below)
+        p = (one + 0.4) / (here + 0.8)
+        out[:, j] = np.clip(np.round(np.log(p / (1 - p)) * _SCALE), -127, 127)
+        here = below
+    return out
+
+
+def _group_grams(docs: pa.Table) -> pa.Table:
+    """(grp, key, n) of the distinct 3-, 4- and 5-grams of one group of documents; the key's top bits are the order."""
+    found = pa.Table.from_batches(_count(iter(docs.to_batches())), pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
+    gram, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
+    keys, counts = [], []
+    for order in ORDERS:
+        g = _gram(order, gram)
+        by = np.argsort(g, kind="stable")
+        k, c, _ = _sums(g[by], n[by])
+        keys.append(k | (order << _TAG))
+        counts.append(c)
+    key = np.concatenate(keys)
+    group = docs.column("grp").slice(0, 1).to_numpy()
+    return pa.table({"grp": np.full(len(key), group[0], np.int64), "key": key, "n": np.concatenate(counts)})
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, key, v) of rows (grp, key, n) sorted by key with contexts whole: the corpus's logits, eight bytes as one integer."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def out(a: np.ndarray) -> pa.RecordBatch:
+        keys, n, which = _sums(a[1], a[2])
+        v = _logits(keys, n).view(np.int64)[:, 0]
+        return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1]), pa.array(v[which])], ["grp", "key", "v"])
+
     for b in batches:
-        gram, n = b.column("gram").to_numpy(), b.column("n").to_numpy().astype(np.float64)
-        slots, ones, all_ = [], [], []
+        held.append(np.stack([b.column(c).to_numpy() for c in ("grp", "key", "n")]))
+        size += b.num_rows
+        if size >= 200_000:
+            a = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(a[1], (a[1, -1] >> 8) << 8))  # the last context may go on
+            if cut:
+                yield out(a[:, :cut])
+            held, size = [a[:, cut:]], a.shape[1] - cut
+    if size:
+        yield out(np.concatenate(held, axis=1))
+
+
+class Table:
+    """Logits of bit contexts by their exact keys, 0 where the corpus has none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+
+    def __getitem__(self, key: int | np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(np.shape(key), np.int8)
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.values[i], np.int8(0))
+
+    def rows(self, gram: np.ndarray) -> np.ndarray:
+        """Logits on the way to each 5-gram's last byte, by order and bit."""
+        out = np.empty((len(gram), len(ORDERS), 8), np.int8)
+        for i, order in enumerate(ORDERS):
+            base = _base(order, (gram >> 8).astype(np.uint32)).astype(np.int64) + _OFFSETS[i]
+            for j in range(8):
+                out[:, i, j] = self[base + (((gram & 255) | 256) >> (8 - j))]
+        return out
+
+
+class Group:
+    """Logits that one group of documents has looked up: of each gram that it has, nothing else."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], values[by]
+
+    def grams(self) -> np.ndarray:
+        """The group's distinct 5-grams."""
+        return self.keys[np.searchsorted(self.keys, ORDERS[-1] << _TAG) :] & ((1 << _TAG) - 1)
+
+    def rows(self, gram: np.ndarray) -> np.ndarray:
+        """Logits on the way to each 5-gram's last byte, by order and bit."""
+        out = np.empty((len(gram), len(ORDERS)), np.int64)
         for i, order in enumerate(ORDERS):
-            base = _base(order, (gram >> 8).astype(np.uint32))
-            node = np.ones(len(gram), np.int64)
-            for j in range(7, -1, -1):
-                bit = (gram >> j) & 1
-                slots.append(_slot(i, base, node).astype(np.int64) + _OFFSETS[i])
-                ones.append(n * bit)
-                all_.append(n)
-                node = node * 2 + bit
-        slot, which = np.unique(np.concatenate(slots), return_inverse=True)
-        one = np.bincount(which, weights=np.concatenate(ones)).astype(np.int64)
-        total = np.bincount(which, weights=np.concatenate(all_)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(one), pa.array(total)], ["slot", "one", "n"])
-
-
-def train(docs: DataFrame) -> np.ndarray:
-    """Logits of all slots in 1/_SCALE, from all documents; their number is fixed, their counts follow the corpus."""
+            key = _gram(order, gram) | (order << _TAG)
+            at = np.searchsorted(self.keys, key)
+            if len(key) and (at[-1] >= len(self.keys) or not np.array_equal(self.keys[np.minimum(at, len(self.keys) - 1)], key)):
+                raise ValueError("a gram of the documents wasn't counted: the input changed between two reads")
+            out[:, i] = self.values[at]
+        return out.view(np.int8).reshape(len(gram), len(ORDERS), 8)
+
+
+def train(docs: DataFrame) -> Table:
+    """The whole table in one place, to score texts that aren't in the corpus; ``score`` never gathers it."""
     grams = docs.select("text").where("text is not null").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    slots = grams.mapInArrow(_bits, "slot int, one long, n long").groupBy("slot").agg(F.sum("one").alias("one"), F.sum("n").alias("n"))
-    p = (F.col("one") + 0.4) / (F.col("n") + 0.8)
-    logit = F.greatest(F.lit(-127), F.least(F.lit(127), F.round(F.log(p / (1 - p)) * _SCALE))).cast("byte")
-    rows = slots.select("slot", logit.alias("v")).toArrow()
-    table = np.zeros(_OFFSETS[-1], np.int8)
-    table[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return table
+    found = grams.orderBy("gram").toArrow()
+    gram, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
+    keys, values = [], []
+    for i, order in enumerate(ORDERS):
+        g = _gram(order, gram)
+        by = np.argsort(g, kind="stable")
+        k, c, _ = _sums(g[by], n[by])
+        node = ((k & 255) | 256)[:, None] >> (8 - np.arange(8))
+        key, first = np.unique(((k >> 8) << 8)[:, None] + node + _OFFSETS[i], return_index=True)
+        keys.append(key)
+        values.append(_logits(k, c).ravel()[first])
+    return Table(np.concatenate(keys), np.concatenate(values))
+
+
+class _Places:
+    """Places of integers in an array of distinct ones, by open addressing; every key is compared in full."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        bits = max(8, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 for one that isn't there."""
+        at = self._first(keys)
+        out = self.slots[at]
+        if not len(self.keys):
+            return out
+        lost = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = at[lost]
+        while len(lost):
+            at = (at + 1) & self.mask
+            out[lost] = self.slots[at]
+            still = (out[lost] >= 0) & (self.keys[out[lost]] != keys[lost])
+            lost, at = lost[still], at[still]
+        return out
 
 
 class Coder:
     """Codes blocks in step."""
 
-    def __init__(self, table: np.ndarray) -> None:
+    def __init__(self, table: Table | Group) -> None:
         self.table = table
 
+    def _placed(self, a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of distinct 5-grams, and which of them ends in each of the laid out bytes."""
+        step = 1 << 20
+
+        def grams(k: int) -> np.ndarray:
+            part = np.concatenate([np.zeros(max(0, 4 - k), np.uint8), a[max(0, k - 4) : k + step]])
+            g = np.zeros(len(part) - 4, np.int64)
+            for j in range(5):
+                g = (g << 8) | part[j : len(part) - 4 + j]
+            return g
+
+        if isinstance(self.table, Group):
+            keys = self.table.grams()
+        else:
+            keys = np.unique(np.concatenate([np.unique(grams(k)) for k in range(0, len(a), step)]))
+        places, which = _Places(keys), np.empty(len(a), np.int32)
+        for k in range(0, len(a), step):
+            which[k : k + step] = places.of(grams(k))
+        for j in range(1, 5):
+            which[starts - j] = which[len(a) - j] = 0  # what lies between texts is never coded
+        if len(keys) and which.min() < 0:
+            raise ValueError("a gram of the documents wasn't counted: the input changed between two reads")
+        return self.table.rows(keys).reshape(len(keys), -1), which
+
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text."""
         a = _lay_out(texts)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         starts = np.cumsum(sizes + 4) - sizes
+        if not sizes.any():
+            return np.zeros(len(texts))
+        logits, which = self._placed(a, starts)
         blocks = (sizes + BLOCK - 1) // BLOCK
         owner = np.repeat(np.arange(len(texts)), blocks)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -148,130 +304,106 @@ class Coder:
         order = np.argsort(-length, kind="stable")
         for k in range(0, len(order), LANES):
             part = order[k : k + LANES]
-            cost[part] = self._lanes(a, first[part], length[part])
+            cost[part] = self._lanes(a, logits, which, first[part], length[part])
         return np.bincount(owner, weights=cost, minlength=len(texts))
 
-    def _lanes(self, a: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Bits of blocks of falling length: in each step one byte of every block that has it, bit by bit."""
+    def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Bits of blocks of falling length: in each step one byte of every block that has it.
+
+        The eight bits of a byte have weights and order-0 nodes of their own, so they are mixed at once; only
+        the refining map goes bit by bit.
+        """
         lanes, k = len(first), len(ORDERS)
         f = np.float32
-        weights = np.empty((8, k + 1, lanes), f)
-        weights[:] = np.array(_START, f)[None, :, None]
+        weights = np.empty((k + 1, 8, lanes), f)
+        weights[:] = np.array(_START, f)[:, None, None]
         own = np.zeros(lanes * 256, f)
         middle = (np.arange(_BUCKETS, dtype=np.float64) + 0.5) / _BUCKETS * 16 - 8
         refine = np.repeat((1 / (1 + np.exp(-middle))).astype(f), lanes)  # by bucket, then block: most lie in few buckets
         row = np.arange(lanes)
+        shifts = np.arange(8, 0, -1, dtype=np.int64)[:, None]
         cost = np.zeros(lanes)
-        context = np.zeros(lanes, np.uint32)
-        for j in range(4):
-            context = (context << np.uint32(8)) | a[first - 4 + j]
         active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), side="left")
-        masks = np.array([[(1 << x) - 1] for x in SLOT_BITS], np.uint32)
-        offsets = _OFFSETS[:-1, None].astype(np.uint32)
         m = -1
         for s, now in enumerate(active.tolist()):
             if now != m:  # blocks have ended: narrower buffers
                 m = now
-                slot, base, spread = np.empty((k, m), np.uint32), np.empty((k, m), np.uint32), np.empty(m, np.uint32)
-                raw, z, zw = np.empty((k, m), np.int8), np.empty((k + 1, m), f), np.empty((k + 1, m), f)
-                xs, err, x, q, chance = np.empty((2, m), f), np.empty((2, m), f), np.empty(m, f), np.empty(m, f), np.empty(m, f)
-                node, mine, cell = np.empty(m, np.uint32), np.empty(m, np.int64), np.empty(m, np.int64)
-                rows = row[:m]
-            byte = a[first[:m] + s]
+                z, zw = np.empty((k + 1, 8, m), f), np.empty((k + 1, 8, m), f)
+                xs, err, x, q = np.empty((2, 8, m), f), np.empty((2, 8, m), f), np.empty((8, m), f), np.empty((8, m), f)
+                mine, cell, step, chance = np.empty((8, m), np.int64), np.empty((8, m), np.int64), np.empty(m, f), np.empty(m, f)
+                rows, w = row[:m], weights[:, :, :m]
+            at = first[:m] + s
+            byte = a[at]
             bits = np.unpackbits(byte[None, :], axis=0)
             ones = bits.astype(f)
-            nots = _ONE - ones
-            ctx = context[:m]
-            for i, o in enumerate(ORDERS):
-                base[i] = _base(o, ctx)
-            node[:] = 1
-            chance[:] = 1
+            np.multiply(logits[which[at]].T.reshape(k, 8, m), _UNIT, out=z[:k])
+            np.right_shift(byte.astype(np.int64) | 256, shifts, out=mine)
+            mine *= lanes
+            mine += rows
+            np.take(own, mine, out=z[k], mode="clip")
+            np.multiply(w, z, out=zw)
+            np.add.reduce(zw, axis=0, out=xs[0])
+            xs[1] = z[k]
+            np.multiply(xs[0], _PER, out=x)
+            np.negative(xs, out=xs)
+            np.exp(xs, out=xs)
+            xs += _ONE
+            np.reciprocal(xs, out=xs)  # probability of a one: mixed, and by what the text itself taught
+            np.subtract(ones, xs, out=err)
+            err *= _RATES[:, :, None]
+            np.multiply(z, err[0], out=zw)
+            w += zw
+            np.add(z[k], err[1], out=z[k])
+            own[mine] = z[k]
+            x += _MIDDLE
+            np.maximum(x, _LOW, out=x)
+            np.minimum(x, _HIGH, out=x)
+            cell[:] = x
+            cell *= lanes
+            cell += rows
             for j in range(8):
-                bit = ones[j]
-                np.multiply(node, _SPREAD, out=spread)
-                np.add(base, spread, out=slot)
-                np.bitwise_and(slot, masks, out=slot)
-                np.add(slot, offsets, out=slot)
-                np.take(self.table, slot, out=raw, mode="clip")
-                z[:k] = raw
-                z[:k] *= _UNIT
-                np.multiply(node, lanes, out=mine, dtype=np.int64)
-                mine += rows
-                np.take(own, mine, out=z[k], mode="clip")
-                w = weights[j, :, :m]
-                np.multiply(w, z, out=zw)
-                np.add.reduce(zw, axis=0, out=xs[0])
-                xs[1] = z[k]
-                np.multiply(xs[0], _PER, out=x)
-                np.negative(xs, out=xs)
-                np.exp(xs, out=xs)
-                xs += _ONE
-                np.reciprocal(xs, out=xs)  # probability of a one: mixed, and by what the block itself taught
-                np.subtract(bit, xs, out=err)
-                err *= _RATES
-                np.multiply(z, err[0], out=zw)
-                w += zw
-                np.add(z[k], err[1], out=z[k])
-                own[mine] = z[k]
-                x += _MIDDLE
-                np.maximum(x, _LOW, out=x)
-                np.minimum(x, _HIGH, out=x)
-                cell[:] = x
-                cell *= lanes
-                cell += rows
-                np.take(refine, cell, out=q, mode="clip")
-                np.add(xs[0], q, out=x)
-                np.subtract(bit, q, out=err[0])
-                err[0] *= _MAP_RATE
-                q += err[0]
-                refine[cell] = q
-                x *= _HALF
-                x -= nots[j]
-                np.abs(x, out=x)  # what the bit that came had been given
-                np.maximum(x, _FLOOR, out=x)
-                chance *= x
-                node += node
-                node += bits[j]
+                np.take(refine, cell[j], out=q[j], mode="clip")
+                np.subtract(ones[j], q[j], out=step)
+                step *= _MAP_RATE
+                step += q[j]
+                refine[cell[j]] = step
+            np.add(xs[0], q, out=x)
+            x *= _HALF
+            x -= _ONE - ones
+            np.abs(x, out=x)  # what the bit that came had been given
+            np.maximum(x, _FLOOR, out=x)
+            np.multiply.reduce(x, axis=0, out=chance)
             cost[:m] -= np.log2(chance)
-            context[:m] = (ctx << np.uint32(8)) | byte
         return cost
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, grp): groups of about GROUP_BYTES; the group follows from the row, so each read has the same."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-total // GROUP_BYTES) or 1)).alias("grp"))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) of every row.
 
     A null or empty text has no bytes, no bits and null bits_per_byte. Repeated rows get equal results, each
     its own row; texts are coded whole. Empty input gives no rows; further columns are ignored.
     """
-    bc = docs.sparkSession.sparkContext.broadcast(train(docs))
+    groups = _grouped(docs)
+    counted = groups.where("text is not null").groupBy("grp").applyInArrow(_group_grams, "grp long, key long, n long")
+    placed = counted.withColumn("c", F.shiftright("key", 8)).repartition("c").sortWithinPartitions("key").select("grp", "key", "n")
+    looked = placed.mapInArrow(_looked_up, "grp long, key long, v long")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(bc.value)
-        ids: list[pa.Array] = []
-        texts: list[bytes] = []
-        held = 0
-
-        def out() -> pa.RecordBatch:
-            bits = np.round(coder.bits(texts), 3)
-            n = np.array([len(t) for t in texts], dtype=np.int64)
-            per = pa.array(bits / np.maximum(n, 1), mask=n == 0)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(n), pa.array(bits), per], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
-
-        for whole in batches:
-            for k in range(0, whole.num_rows, 250):
-                b = whole.slice(k, 250)
-                ids.append(b.column("doc_id"))
-                new = [t or b"" for t in common.binary_rows(b.column("text"))]
-                texts += new
-                held += sum(-(-len(t) // BLOCK) for t in new)
-                if held >= 2 * LANES:
-                    yield out()
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield out()
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, bits double, bits_per_byte double")
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        texts = [t or b"" for t in common.binary_rows(rows.column("text"))]
+        bits = np.round(Coder(Group(found.column("key").to_numpy(), found.column("v").to_numpy())).bits(texts), 3)
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        per = pa.array(bits / np.maximum(n, 1), mask=n == 0)
+        return pa.table([rows.column("doc_id"), pa.array(n), pa.array(bits), per], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+
+    return groups.groupBy("grp").cogroup(looked.groupBy("grp")).applyInArrow(run, f"doc_id {kind}, n_bytes long, bits double, bits_per_byte double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
