@@ -356,6 +356,22 @@ def test_lm_contexts_never_share_counts(spark, monkeypatch):
     assert lm.Coder(table).bits(texts) == pytest.approx([whole[i] for i in range(len(texts))], abs=0.01)
 
 
+def test_lm_codes_long_texts_whole(spark, monkeypatch):
+    rng = random.Random(9)
+    phrase = bytes(rng.randrange(33, 127) for _ in range(30))
+    texts = [phrase * 100, b"the of and stone " * 3, ("haus fluss stein " * 250).encode(), b"z" * 5000]
+    table = lm.train(corpus(spark, 30))
+    fast = lm.Coder(table).bits(texts)
+    monkeypatch.setattr(lm, "BLOCK", 1 << 40)  # for the slow twin alone: what was coded above is coded
+    assert fast == pytest.approx([_slow_lm(table, t) for t in texts], rel=2e-3, abs=0.2)
+
+
+def test_lm_groups_texts_of_similar_length(spark):
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([0, 5, 1000, 1024, 2000, 2048, 70_000])] + [(7, None)], "doc_id long, text string")
+    by = {r["doc_id"]: r["grp"] >> 40 for r in lm._grouped(docs).collect()}
+    assert by == {0: 10, 1: 10, 2: 10, 3: 10, 4: 10, 5: 11, 6: 16, 7: 10}
+
+
 def test_lm_scores(spark):
     docs = corpus(spark)
     got = lm.score(docs)

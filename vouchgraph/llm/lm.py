@@ -9,9 +9,9 @@ The counts are a partitioned table that grows with the corpus, keyed by the exac
 ever share one. No task holds it whole: documents form groups of about GROUP_BYTES; each group sends its distinct
 grams to the partitions of the table and gets their logits back.
 
-Texts are coded in blocks of BLOCK bytes: what is learned online starts anew in each, contexts reach back
-across its edge. So thousands of blocks, of any documents, are coded in step, and a document's score depends
-on its own bytes and the corpus alone.
+Each text is coded from its first to its last byte with one online state. Texts of similar length are coded in
+step, thousands at once, each in a lane of its own; a document's score depends on its own bytes and the corpus
+alone.
 """
 
 from __future__ import annotations
@@ -28,11 +28,14 @@ from . import common
 ORDERS = (2, 3, 4)
 #: Bits of a bit context's exact key: the order's bytes, then eight for the node. Its slot is this key.
 SLOT_BITS = (24, 32, 40)
-BLOCK = 1024
-#: Blocks coded in step; only speed depends on it.
+#: Bytes after which online state would start anew: more than any text has.
+BLOCK = 1 << 31
+#: Texts coded in step; only speed depends on it.
 LANES = 4096
-#: Bytes of text whose documents look up their grams together.
+#: Bytes of text whose documents look up their grams and are coded together.
 GROUP_BYTES = 16 << 20
+#: Texts below this power of two of bytes are grouped as if of one length, longer ones by the power of two below.
+SHORT_BITS = 10
 _START = (0.25, 0.35, 0.4, 0.35)
 _BUCKETS = 24
 #: Learning rates of the weights, of the order-0 logits, and of the refining map.
@@ -258,7 +261,7 @@ class _Places:
 
 
 class Coder:
-    """Codes blocks in step."""
+    """Codes texts in step."""
 
     def __init__(self, table: Table | Group) -> None:
         self.table = table
@@ -295,20 +298,15 @@ class Coder:
         if not sizes.any():
             return np.zeros(len(texts))
         logits, which = self._placed(a, starts)
-        blocks = (sizes + BLOCK - 1) // BLOCK
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        first = starts[owner] + number * BLOCK
-        length = np.minimum(BLOCK, sizes[owner] - number * BLOCK)
-        cost = np.zeros(len(owner))
-        order = np.argsort(-length, kind="stable")
+        cost = np.zeros(len(texts))
+        order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
         for k in range(0, len(order), LANES):
             part = order[k : k + LANES]
-            cost[part] = self._lanes(a, logits, which, first[part], length[part])
-        return np.bincount(owner, weights=cost, minlength=len(texts))
+            cost[part] = self._lanes(a, logits, which, starts[part], sizes[part])
+        return cost
 
     def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Bits of blocks of falling length: in each step one byte of every block that has it.
+        """Bits of texts of falling length: in each step one byte of every text that has it.
 
         The eight bits of a byte have weights and order-0 nodes of their own, so they are mixed at once; only
         the refining map goes bit by bit.
@@ -319,14 +317,14 @@ class Coder:
         weights[:] = np.array(_START, f)[:, None, None]
         own = np.zeros(lanes * 256, f)
         middle = (np.arange(_BUCKETS, dtype=np.float64) + 0.5) / _BUCKETS * 16 - 8
-        refine = np.repeat((1 / (1 + np.exp(-middle))).astype(f), lanes)  # by bucket, then block: most lie in few buckets
+        refine = np.repeat((1 / (1 + np.exp(-middle))).astype(f), lanes)  # by bucket, then text: most lie in few buckets
         row = np.arange(lanes)
         shifts = np.arange(8, 0, -1, dtype=np.int64)[:, None]
         cost = np.zeros(lanes)
         active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), side="left")
         m = -1
         for s, now in enumerate(active.tolist()):
-            if now != m:  # blocks have ended: narrower buffers
+            if now != m:  # texts have ended: narrower buffers
                 m = now
                 z, zw = np.empty((k + 1, 8, m), f), np.empty((k + 1, 8, m), f)
                 xs, err, x, q = np.empty((2, 8, m), f), np.empty((2, 8, m), f), np.empty((8, m), f), np.empty((8, m), f)
@@ -378,10 +376,14 @@ class Coder:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, grp): groups of about GROUP_BYTES; the group follows from the row, so each read has the same."""
+    """(doc_id, text, grp): groups of about GROUP_BYTES and similar length, which follow from the row: each read has the same."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-total // GROUP_BYTES) or 1)).alias("grp"))
+    power = F.greatest(F.lit(SHORT_BITS), F.floor(F.log2(F.greatest(size, F.lit(1))))).cast("int")
+    totals = docs.groupBy(power.alias("power")).agg(F.sum(size).alias("n")).collect()
+    if not totals:
+        return docs.select("doc_id", "text", F.lit(0).cast("long").alias("grp"))
+    parts = F.create_map(*[F.lit(x) for r in totals for x in (r["power"], -(-r["n"] // GROUP_BYTES) or 1)])
+    return docs.select("doc_id", "text", (F.shiftleft(power.cast("long"), 40) + F.pmod(F.xxhash64("doc_id", "text"), parts[power])).alias("grp"))
 
 
 def score(docs: DataFrame) -> DataFrame:
