@@ -159,6 +159,22 @@ def test_mixing_sql(spark):
     assert {r["source"] for r in mixing.mix(docs, {"s1": 1.0}).collect()} <= {"s1"} | {r["source"] for r in mixing.mix(docs, {"s1": 1.0}).where("tokens = 0").collect()}
 
 
+def test_mixing_meets_weights_under_skew(spark):
+    hot = [(i, "w " * 10, "hot") for i in range(1900)]
+    docs = spark.createDataFrame(hot + [(10_000 + i, "w " * 10, f"s{i % 19}") for i in range(1900)], "doc_id long, text string, source string")
+    by = {(r["source"], r["fraction"]): r for r in mixing.shares(docs).collect()}
+    assert len(by) == 60 and by["hot", 1.0]["target"] == 0.05
+    assert by["hot", 1.0]["share"] == pytest.approx(1 / 11, abs=1e-3)  # as SQL has it: the small ones can't fill their budgets
+    by = {(r["source"], r["fraction"]): r for r in mixing.shares(docs, balanced=True).collect()}
+    assert all(abs(r["share"] - r["target"]) < 2e-3 for r in by.values())
+    assert by["s3", 1.0]["taken"] == by["s3", 1.0]["own"] == 1000 == by["hot", 1.0]["taken"]
+    got = Counter(r["source"] for r in mixing.mix(docs, balanced=True).collect())
+    assert got == Counter(r["source"] for r in mixing.mixed_documents(docs, balanced=True).collect()) and set(got.values()) == {100}
+    by = {r["source"]: r for r in mixing.shares(docs, {"hot": 3.0, "s1": 1.0, "gone": 4.0}, (1.0,), balanced=True).collect()}
+    assert by["gone"]["taken"] == 0 and by["gone"]["target"] == 0.5 and by["hot"]["taken"] == 3 * by["s1"]["taken"] == 3000
+    assert by["s2"]["taken"] == 0
+
+
 def test_chat_sql(spark):
     data = [(1, 0, "user", "hi <|end|>"), (1, 1, "user", "again"), (1, 2, "assistant", None), (1, 2, "assistant", "b"), (1, 2, "assistant", "b"), (1, None, None, "first"), (None, 0, "user", "lost"), (2, 5, "system", ""), (3, 0, "user", "w " * 30_000)]
     turns = spark.createDataFrame([(*r, "x") for r in data], "conv_id long, turn long, role string, text string, formatted string")
