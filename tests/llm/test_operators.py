@@ -139,6 +139,21 @@ def test_langid_accuracy_and_rejection(spark):
     assert langid.identify(unlabelled).where("accepted and predicted is null").count() == docs.count()
 
 
+def test_langid_limit_is_the_quantile(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    per, n = rng.normal(2, 0.1, 2000), np.full(2000, 100)
+    per[7] = 6.0  # one odd document doesn't open the language
+    mean, a, b, most = langid._limits(per, n)
+    z = (per - mean) / np.sqrt(a + b / n)
+    assert np.sum(z > most) in (1, 2) and most < z[7]
+    own, sizes = langid._limits, []
+    monkeypatch.setattr(langid, "_limits", lambda per, n: sizes.append(len(per)) or own(per, n))
+    draw = random.Random(11)
+    docs = spark.createDataFrame([(i, _text(draw, lang, 8), lang) for lang in WORDS for i in range(2200)], "doc_id long, text string, lang string")
+    langid.train(docs)
+    assert len(sizes) == 2 and min(sizes) >= 999  # enough for a quantile of 0.999
+
+
 # --- quality, mixing, chat: against DuckDB ---
 
 

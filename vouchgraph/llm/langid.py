@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 5
-#: Expected number of labelled documents a language that the models see.
+#: Expected number of labelled documents a language; the models see four fifths of them.
 PER_LANGUAGE = 1000
+#: Expected number of other labelled documents a language that calibrate rejection, where there are as many.
+HELD_OUT = 3000
 #: Part of the held-out documents that may be rejected.
 REJECT = 0.001
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, ORDER + 1)]
@@ -193,9 +195,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     if not sizes:
         return None
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    part = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(int(1e6 * min(1.0, per_language / n))))])
-    held = F.pmod(F.xxhash64("text", "doc_id"), F.lit(5)) == 0
-    sample = common.stage(labelled.where(draw < part[F.col("lang")]).withColumn("held", held).repartition(8), "langid-sample")
+    seen = {c: 0.8 * min(1.0, per_language / n) for c, n in sizes.items()}
+    below = lambda parts: F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.lit(int(1e6 * p)))])[F.col("lang")]
+    drawn = {c: min(1.0, p + HELD_OUT / sizes[c]) for c, p in seen.items()}
+    sample = common.stage(labelled.where(draw < below(drawn)).withColumn("held", draw >= below(seen)).repartition(8), "langid-sample")
     words = sample.where("not held").select("lang", F.explode(F.split("text", r"\s+")).alias("w")).groupBy("lang", "w").count().toArrow()
     counts: dict[str, dict[str, int]] = {}
     for b in words.to_batches(max_chunksize=50_000):
@@ -236,8 +239,8 @@ def _limits(per: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]
     a, b = max(float(a), 1e-3), max(float(b), 1.0)
     z = np.sort((per - mean) / np.sqrt(a + b / n))
     k = int(np.ceil((1 - REJECT) * (len(z) + 1)))
-    # beyond the held-out range: half as far again as the largest seen
-    return mean, a, b, max(4.0, 1.5 * float(z[-1]) if k > len(z) else float(z[k - 1]))
+    # too few rows for the quantile: as far as the largest seen
+    return mean, a, b, float(z[k - 1]) if k <= len(z) else max(4.0, float(z[-1]))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
