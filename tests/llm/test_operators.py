@@ -430,6 +430,17 @@ def test_pages(spark):
     assert len(by[12]["text"].split()) == 50_000
 
 
+def test_pages_vote_for_every_path(spark):
+    rng = random.Random(12)
+    data = []
+    for i in range(40):
+        names = ["".join(rng.choices("bcdfghjklmnp", k=8)) for _ in range(6)]
+        data.append((i, "http://h.org/%d" % i, "<body>" + "".join(f"<div class='{n}'>" for n in names) + f"<p>Only text of page {i}, long enough to be scored.</p>" + "</div>" * 6))
+    got = pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {r["method"] for r in got} == {"consensus"} and len({r["path"] for r in got}) == 1
+    assert all(r["text"] == f"Only text of page {r['page_id']}, long enough to be scored." for r in got)
+
+
 def test_warc_round_trip(spark):
     data = [(i, f"http://a.org/{i}", f"<p>{i // 2}</p>") for i in range(8)] + [(20, None, "x"), (None, "http://n.org\r\nEvil: 1", "y"), (21, "http://z.org", None), (22, "http://e.org", ""), (3, "http://a.org/3", "<p>1</p>"), (24, "http://l.org", "w" * 100_000)]
     table = spark.createDataFrame([(*r, "z") for r in data], "page_id long, url string, html string, file string")

@@ -1,7 +1,7 @@
 """HTML extraction by consensus paths of a host.
 
 Every page's containers are scored by their text outside links; a container's path is its ancestors' tags and
-classes with digits generalised. Pages vote for their best paths, the votes are summed per host in Spark, and
+classes with digits generalised. Pages vote for all their paths by score, the votes are summed per host in Spark, and
 every page is extracted again from the containers at its host's winning path.
 """
 
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Best paths of a page that get its vote, by their share of its score.
-VOTES = 5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -148,7 +146,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x := x.as_py():
                 s = Page(x).scores()
                 whole = max(s.values(), default=1.0)
-                for p in sorted(s, key=lambda p: (-s[p], p))[:VOTES]:
+                for p in s:  # every container, so that one common to all pages counts however low it ranks
                     sums[h, p] = sums.get((h, p), 0) + round(1000 * s[p] / whole)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["host", "path", "votes"])
 
