@@ -441,6 +441,19 @@ def test_pages_vote_for_every_path(spark):
     assert all(r["text"] == f"Only text of page {r['page_id']}, long enough to be scored." for r in got)
 
 
+def test_warc_archives_stay_in_a_folder(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"http://a.org/{i}", f"<p>{i // 2}</p>") for i in range(8)], "page_id long, url string, html string")
+    want = rows(warc.deduplicate(table).drop("file", "offset", "length"))
+    got = warc.deduplicate(table, f"file://{tmp_path}/out")
+    common.drop_staged()  # as at the end of Python
+    assert rows(got.drop("file", "offset", "length")) == want
+    for r in spark.read.parquet(f"file://{tmp_path}/out/index").collect():
+        assert r["file"].startswith(f"{tmp_path}/out/archives/")
+        with open(r["file"], "rb") as f:
+            f.seek(r["offset"])
+            assert warc.parse(f.read(r["length"]))[0]["WARC-Record-ID"] == r["record_id"]
+
+
 def test_warc_round_trip(spark):
     data = [(i, f"http://a.org/{i}", f"<p>{i // 2}</p>") for i in range(8)] + [(20, None, "x"), (None, "http://n.org\r\nEvil: 1", "y"), (21, "http://z.org", None), (22, "http://e.org", ""), (3, "http://a.org/3", "<p>1</p>"), (24, "http://l.org", "w" * 100_000)]
     table = spark.createDataFrame([(*r, "z") for r in data], "page_id long, url string, html string, file string")

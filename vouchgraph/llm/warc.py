@@ -141,9 +141,13 @@ def rewrite(resolved: DataFrame, folder: str) -> DataFrame:
     return resolved.groupBy("file").applyInArrow(run, schema)
 
 
-def deduplicate(pages: DataFrame) -> DataFrame:
+def deduplicate(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archive the pages, resolve revisits, write deduplicated archives, and return their index.
 
+    The archives go to ``archives`` and the index, as Parquet, to ``index`` (which mustn't exist) in ``folder``, a
+    path or URI that all executors share, and stay there; what the index doesn't name is left by failed tasks.
+    Without a folder both are temporary: they are removed when Python ends.
+
     A page with null html was never captured and has no record; an empty one has an empty payload; a null URL
     leaves the target out. Rows that repeat are responses with one digest: one stays, the others become
     revisits. Ties in date and page go by URI, then by place in the archives. Empty input gives no rows;
@@ -151,7 +155,12 @@ def deduplicate(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     index = archive(pages, common.new_path(spark, "warc-in"))
-    return common.stage(rewrite(resolve(index), common.new_path(spark, "warc-out")), "warc-out-index")
+    if folder is None:
+        return common.stage(rewrite(resolve(index), common.new_path(spark, "warc-out")), "warc-out-index")
+    base = folder.rstrip("/")
+    written = rewrite(resolve(index), f"{base}/archives")
+    written.write.parquet(f"{base}/index")
+    return spark.read.schema(written.schema).parquet(f"{base}/index")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
