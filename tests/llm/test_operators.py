@@ -313,6 +313,20 @@ def test_bpe_blocks_may_be_small(spark, monkeypatch):
     assert rows(bpe.encode(docs)) == want
 
 
+def test_bpe_counts_of_huge_words(monkeypatch):
+    class Huge:
+        def encode_ordinary(self, w):
+            return range((1 << 24) + 3) if w == "huge" else [1]
+
+    fromiter = np.fromiter
+    monkeypatch.setattr(bpe, "encoder", lambda pieces: Huge())
+    monkeypatch.setattr(np, "fromiter", lambda it, *a: np.zeros(1, np.int64) if not isinstance(it, map) else fromiter(it, *a))  # the ids aren't needed
+    words = bpe._pack(bpe.pa.array(["a", "huge"], bpe.pa.large_string()))
+    t = bpe.pa.table({"block": [0], "part": [0], "payload": bpe.pa.array([words], bpe.pa.binary())})
+    reply = bpe._encode(type("B", (), {"value": None}))(t).column("reply")[0].as_py()
+    assert bpe._from_planes(bpe._unpack(bpe._split(reply)[0])).tolist() == [1, (1 << 24) + 3]
+
+
 def test_bpe_bad_ids_decode(spark):
     bad = spark.createDataFrame([(1, [10**6]), (2, None), (3, [])], "doc_id long, token_ids array<int>")
     assert [r["decoded"] for r in bpe.decode(bad).orderBy("doc_id").collect()] == ["", None, ""]

@@ -140,7 +140,7 @@ def _encode(pieces):
                 ids.append(got)
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-            replies.append(_join(_pack(*_planes(n)[:3]), _pack(*_planes(flat)[:3])))
+            replies.append(_join(_pack(*_planes(n)), _pack(*_planes(flat)[:3])))
         return pa.table({"block": t.column("block"), "part": t.column("part"), "reply": pa.array(replies, pa.binary())})
 
     return run
