@@ -8,6 +8,8 @@ from . import rng
 
 #: Walks advanced together: few enough that their visits stay in cache.
 CHUNK = 10_000
+#: Largest graph that :func:`exact` takes.
+EXACT_NODES = 5_000
 
 
 class Adjacency:
@@ -71,7 +73,9 @@ def hits(adj: Adjacency, ego: np.ndarray, number: np.ndarray, seed: int, alpha:
 
 
 def exact(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, ego: int, nodes: int, alpha: float) -> np.ndarray:
-    """Score of each node for ``ego`` that walks approach, by two dense solves; for graphs of a few thousand nodes."""
+    """Score of each node for ``ego`` that walks approach, by two dense solves; for graphs of up to EXACT_NODES nodes."""
+    if nodes > EXACT_NODES:
+        raise ValueError(f"{nodes} nodes are too many for dense solves; walk instead")
     pos, neg = np.zeros((nodes, nodes)), np.zeros((nodes, nodes))
     up = weight > 0
     pos[src[up], dst[up]] = weight[up]

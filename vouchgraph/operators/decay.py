@@ -9,23 +9,33 @@ from pyspark.sql import functions as F
 from ..settings import EPSILON, Settings
 
 
+class Fold:
+    """Outgoing edges of one source, operation by operation, rescaled whenever a weight passes the threshold."""
+
+    def __init__(self, settings: Settings, scale: int = 0, most: float = 0.0, edges: dict[str, tuple[float, int]] | None = None) -> None:
+        self.settings, self.scale, self.most, self.edges = settings, scale, most, edges or {}
+
+    def apply(self, rows: pd.DataFrame) -> dict[str, tuple[float, int]]:
+        """Edges (weight, op_idx) by target after ``rows`` (op_idx, dst, amount, magnitude), in order of op_idx."""
+        bump = self.settings.vsids_bump
+        for r in rows.sort_values("op_idx").itertuples(index=False):
+            weight, factor = r.amount * bump ** (r.magnitude - self.scale), 1.0
+            if abs(weight) > self.settings.rescale_threshold:
+                factor = bump ** (r.magnitude - self.scale)
+                self.scale, weight = int(r.magnitude), r.amount
+            self.most = max(self.most / factor, abs(weight))
+            least = self.most * self.settings.deletion_ratio
+            self.edges = {d: (w / factor, i) for d, (w, i) in self.edges.items() if abs(w / factor) > least}
+            if abs(weight) > EPSILON:
+                self.edges[r.dst] = (weight, int(r.op_idx))
+            else:
+                self.edges.pop(r.dst, None)
+        return self.edges
+
+
 def fold(rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    """Edges of one source after all its operations in order, rescaling whenever a weight passes the threshold."""
-    scale, most, edges = 0, 0.0, {}
-    for r in rows.sort_values("op_idx").itertuples(index=False):
-        weight, factor = r.amount * settings.vsids_bump ** (r.magnitude - scale), 1.0
-        if abs(weight) > settings.rescale_threshold:
-            factor = settings.vsids_bump ** (r.magnitude - scale)
-            scale, weight = r.magnitude, r.amount
-            most = max(most / factor, abs(weight))
-        else:
-            most = max(most, abs(weight))
-        edges = {d: (w / factor, i) for d, (w, i) in edges.items() if abs(w / factor) > most * settings.deletion_ratio}
-        if abs(weight) > EPSILON:
-            edges[r.dst] = (weight, r.op_idx)
-        else:
-            edges.pop(r.dst, None)
-    first = rows.iloc[0]
+    """Edges of one source after all its operations in order."""
+    first, edges = rows.iloc[0], Fold(settings).apply(rows)
     return pd.DataFrame([(first.context, first.src, d, w, i) for d, (w, i) in edges.items()], columns=["context", "src", "dst", "weight", "op_idx"])
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import kind_of
-from ..plans.staging import stage
+from ..plans.staging import checked, stage
 from ..settings import EPSILON
 from . import neighbors
 
@@ -20,72 +18,37 @@ def costs(edges: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.when(share < EPSILON, 1e6).otherwise(F.col("pos_sum") / F.col("weight")).alias("cost"))
 
 
-def astar(links: dict[str, list[tuple[str, float]]], start: str, goal: str) -> list[str] | None:
-    """Path from start to goal that ends as soon as the goal is seen next to a settled node.
+def cheapest_path(edges: DataFrame, start: str, goal: str) -> list[str] | None:
+    """:func:`cheapest` over the positive edges, by :func:`costs`."""
+    return cheapest(costs(edges), start, goal)
+
 
-    Ties go to the node first by name. None if the goal can't be reached.
+def cheapest(links: DataFrame, start: str, goal: str) -> list[str] | None:
+    """Nodes of the path from start to goal over (src, dst, cost > 0), None without one; only the path reaches the driver.
+
+    The path ends as soon as the goal is next to a settled node: it is the cheapest way to the goal's nearest
+    source, and one edge more. Of equal ones, the source first by name wins, and on the way to a node the last
+    stop of the least cost, then the first by name. Costs spread from the start hop by hop, each round a written
+    table of the nodes that became cheaper, and not beyond the cost of the best source found so far.
     """
     if start == goal:
         return [start]
-    best, came, done, heap = {start: 0.0}, {start: None}, set(), [(0.0, start)]
-    while heap:
-        cost, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        done.add(node)
-        for to, c in links.get(node, ()):
-            if to in done:
-                continue
-            if to not in best or cost + c < best[to]:
-                best[to], came[to] = cost + c, node
-                heapq.heappush(heap, (cost + c, to))
-            if to == goal:
-                path = [goal]
-                while (at := came[path[-1]]) is not None:
-                    path.append(at)
-                return path[::-1]
-    return None
-
-
-def frontier_path(edges: DataFrame, start: str, goal: str) -> list[str] | None:
-    """:func:`astar` on a distributed graph: edges are fetched for the nodes as they are settled, in growing rings.
-
-    A ring holds every edge within its number of hops, so only the goal's neighbourhood is ever collected; the
-    search is repeated with one more ring until its result can't change.
-    """
-    all_ = stage(costs(edges), "costs")
-    links: dict[str, list[tuple[str, float]]] = {}
-    ring = [start]
-    while ring:
-        some = all_.sparkSession.createDataFrame([(x,) for x in ring], "src string")
-        found = all_.join(F.broadcast(some), "src").collect()  # edges of one ring
-        for x in ring:
-            links[x] = []
-        for r in found:
-            links[r["src"]].append((r["dst"], r["cost"]))
-        path = astar(links, start, goal)
-        ring = sorted({r["dst"] for r in found} - links.keys())
-        if path is not None:
-            # every edge costs 1 at least: a path over unseen nodes needs more than the rings are deep
-            depth_cost = sum(min(c for d, c in links[a] if d == b) for a, b in zip(path, path[1:-1])) if len(path) > 2 else 0.0
-            if depth_cost <= _depth(links, start):
-                return path
-    return astar(links, start, goal)
-
-
-def _depth(links: dict[str, list[tuple[str, float]]], start: str) -> int:
-    seen, level, n = {start}, [start], 0
-    while level:
-        nxt = []
-        for x in level:
-            if x not in links:
-                return n
-            for d, _ in links[x]:
-                if d not in seen:
-                    seen.add(d)
-                    nxt.append(d)
-        level, n = nxt, n + 1
-    return n
+    links = stage(links.where(F.col("dst") != start), "costs")
+    last = links.where(F.col("dst") == goal).select(F.col("src").alias("node"))
+    links = links.where(F.col("dst") != goal)
+    last = checked(stage(last, "sources"), 48)
+    found = links.sparkSession.range(0, 1, 1, 1).select(F.lit(start).alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(-1.0).alias("before"), F.lit("").alias("via"), F.array(F.lit(start)).alias("path")).alias("best"))
+    found = front = stage(found, "reached")
+    while True:
+        best = found.join(last, "node").agg(F.min(F.struct("best.cost", "node", "best.path")).alias("b")).first()["b"]
+        go = front if best is None else front.where(F.col("best.cost") < best["cost"])
+        if go.isEmpty():
+            return None if best is None else [*best["path"], goal]
+        step = go.select(F.col("node").alias("src"), "best").join(links, "src")
+        tried = step.select(F.col("dst").alias("node"), F.struct((F.col("best.cost") + F.col("cost")).alias("cost"), F.col("best.cost").alias("before"), F.col("src").alias("via"), F.concat("best.path", F.array("dst")).alias("path")).alias("best"))
+        tried = tried.groupBy("node").agg(F.min("best").alias("best"))
+        front = stage(tried.join(found.select("node", F.col("best").alias("old")), "node", "left").where("old is null or best < old").select("node", "best"), "front")
+        found = stage(found.join(front.select("node"), "node", "left_anti").unionByName(front), "reached")
 
 
 def contract(path: list[str], weight: dict[tuple[str, str], float]) -> list[tuple[str, str, float]]:
@@ -115,19 +78,19 @@ def view(edges: DataFrame, ego: str, focus: str, index: int = 0, count: int = 1
     falling weight. With ``force`` an ego without a path is joined to the focus by an edge of 1.
     """
     spark = edges.sparkSession
-    path = frontier_path(edges, ego, focus) if ego != focus else [ego]
+    path = cheapest_path(edges, ego, focus)
     first: list[tuple[str, str, float]] = []
     if path and len(path) > 1:
         hop = spark.createDataFrame(list(zip(path, path[1:])), "src string, dst string")
-        near = edges.join(F.broadcast(hop.select("src").distinct()), "src", "left_semi")
-        norm = {(r["src"], r["dst"]): r["weight"] for r in neighbors.path_normalized(near).join(F.broadcast(hop), ["src", "dst"]).collect()}
+        near = edges.join(checked(hop.select("src").distinct(), 32), "src", "left_semi")
+        norm = {(r["src"], r["dst"]): r["weight"] for r in neighbors.path_normalized(near).join(checked(hop, 64), ["src", "dst"]).collect()}  # a row a hop
         first = contract(path, norm)
     elif force and path is None:
         first = [(ego, focus, 1.0)]
     first = list({(a, b): (a, b, w) for a, b, w in reversed(first) if a != b}.values())[::-1]
     pos = spark.createDataFrame([(i + 1, *e) for i, e in enumerate(first)], "position int, src string, dst string, weight double")
     rest = neighbors.focus_neighbors(edges, focus, positive_only).select(F.lit(focus).alias("src"), "dst", "weight").where("src <> dst")
-    rest = rest.join(F.broadcast(pos.select("src", "dst")), ["src", "dst"], "left_anti")
+    rest = rest.join(checked(pos.select("src", "dst"), 64), ["src", "dst"], "left_anti")
     n = len(first)
     shown = max(0, n - index) if index <= n else 0
     skip, take = max(0, index - n), max(0, count - shown)

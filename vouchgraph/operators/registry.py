@@ -6,36 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import kind_of
-from ..plans.staging import checked
+from ..plans.staging import checked, stage
 
-_CHUNK = 1 << 20
 
+def dense_ids(rows: DataFrame, within: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with 0, 1, 2... by ``order`` (distinct together) in each ``within``.
 
-def dense_ids(rows: DataFrame, within: str, order: str, name: str) -> DataFrame:
-    """``rows`` with 0, 1, 2... by ``order`` (a distinct long) in each ``within``.
-
-    Ranks are counted in chunks of the order's range and shifted by the rows before the chunk: no task sees a
-    whole context.
+    Rows are partitioned by ranges of (within, order), sorted there and written; an id is a row's place in its
+    partition, shifted by what the ``within`` has in earlier ones. No task sees a whole context.
     """
-    chunked = rows.withColumn("__c", F.floor(F.col(order) / _CHUNK))
-    sizes = chunked.groupBy(within, "__c").agg(F.count("*").alias("__n"))
-    before = sizes.select(within, "__c", (F.sum("__n").over(Window.partitionBy(within).orderBy("__c")) - F.col("__n")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(within, "__c").orderBy(order))
-    return chunked.withColumn("__r", rank).join(checked(before, 64), [within, "__c"]).withColumn(name, (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__c", "__r", "__before")
+    ranged = rows.repartitionByRange(within, *order).sortWithinPartitions(within, *order)
+    placed = stage(ranged.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")), "ranked")
+    sizes = placed.groupBy("__p", within).agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
+    before = sizes.select("__p", within, "__first", (F.sum("__n").over(Window.partitionBy(within).orderBy("__p")) - F.col("__n")).alias("__before"))
+    return placed.join(checked(before, 64), ["__p", within]).withColumn(name, (F.col("__before") + F.col("__i") - F.col("__first")).cast("long")).drop("__p", "__i", "__first", "__before")
 
 
-def register(routed: DataFrame) -> DataFrame:
-    """(context, node_id, name, kind, owner) of every node.
+def first_seen(routed: DataFrame, calculated: DataFrame | None = None) -> DataFrame:
+    """(context, name, at, owner): when each node is registered (twice its operation, one more for the second node).
 
     An edge registers its source, then its target; one from an object registers its user first, then the
-    object, owned by that user if it is new. Owners never change later.
+    object, owned by that user if it is new. ``calculated`` (context, op_idx, name) registers users by name.
     """
     by_object = kind_of(F.col("src")) != "U"
     first = F.struct(F.when(by_object, F.col("dst")).otherwise(F.col("src")).alias("name"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("owner"))
     second = F.struct(F.when(by_object, F.col("src")).otherwise(F.col("dst")).alias("name"), F.lit(1).alias("place"), F.when(by_object, F.col("dst")).alias("owner"))
     seen = routed.select("context", "op_idx", F.explode(F.array(first, second)).alias("e")).select("context", (F.col("op_idx") * 2 + F.col("e.place")).alias("at"), "e.name", "e.owner")
-    nodes = seen.groupBy("context", "name").agg(F.min("at").alias("at"), F.min_by("owner", "at").alias("owner"))
-    return dense_ids(nodes, "context", "at", "node_id").select("context", "node_id", "name", kind_of(F.col("name")).alias("kind"), "owner")
+    if calculated is not None:
+        seen = seen.unionByName(calculated.select("context", (F.col("op_idx") * 2).alias("at"), "name", F.lit(None).cast("string").alias("owner")))
+    return seen.groupBy("context", "name").agg(F.min("at").alias("at"), F.min_by("owner", "at").alias("owner"))
+
+
+def register(routed: DataFrame, calculated: DataFrame | None = None) -> DataFrame:
+    """(context, node_id, name, kind, owner, at) of every node, by :func:`first_seen`. Owners never change later."""
+    return dense_ids(first_seen(routed, calculated), "context", ["at", "name"], "node_id").select("context", "node_id", "name", kind_of(F.col("name")).alias("kind"), "owner", "at")
 
 
 def object_owner(nodes: DataFrame, edges: DataFrame) -> DataFrame:

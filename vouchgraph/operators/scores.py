@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import checked
-from ..settings import CLUSTER_EPSILON, Settings
+from ..settings import CLUSTER_EPSILON
 
 
 def raw(hits: DataFrame) -> DataFrame:
@@ -88,6 +88,3 @@ def mutual(scores: DataFrame, ego_id: int, users: DataFrame) -> DataFrame:
     back = scores.where(F.col("node") == ego_id).select(F.col("ego").alias("node"), F.col("score").alias("back"))
     return own.join(back, "node", "left").select("node", "score", F.coalesce("back", F.lit(0.0)).alias("reverse"))
 
-
-def settings_reverse(settings: Settings) -> bool:
-    return settings.reverse == "full"

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel, rng
@@ -58,20 +58,33 @@ def hits(edges: DataFrame, egos: DataFrame, settings: Settings = Settings()) ->
     return found.groupBy("ego", "node").agg(F.sum("pos").alias("pos_hits"), F.sum("neg").alias("neg_hits"))
 
 
-def ranges(edges: DataFrame) -> DataFrame:
-    """(src_id, phase, lo, hi, total, dst_id, negative): each edge's share of its source's draws."""
-    from pyspark.sql import Window
+#: Edges that one row of :func:`ranges` holds, on average.
+_PER_BUCKET = 32
 
+
+def ranges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((src_id, phase, total, width), (src_id, phase, bucket, out)): each source's draws, cut into buckets of equal width.
+
+    ``out`` lists the edges (hi, dst_id, negative) that draws of the bucket can meet, by rising hi: a source with
+    many edges is many rows, so a step mostly looks through a few dozen edges, whatever the degree.
+    """
     both = edges.withColumn("phase", F.explode(F.when(F.col("negative"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     w = Window.partitionBy("src_id", "phase")
     hi = F.sum("w").over(w.orderBy("dst_id"))
-    return both.select("src_id", "phase", (hi - F.col("w")).alias("lo"), hi.alias("hi"), F.sum("w").over(w).alias("total"), "dst_id", "negative")
+    cut = stage(both.select("src_id", "phase", (hi - F.col("w")).alias("lo"), hi.alias("hi"), F.sum("w").over(w).alias("total"), F.ceil(F.count("*").over(w) / _PER_BUCKET).alias("n"), "dst_id", "negative").withColumn("width", F.expr("(total + n - 1) div n")), "ranges")
+    sources = cut.select("src_id", "phase", "total", "width").distinct()
+    spread = cut.withColumn("bucket", F.explode(F.sequence(F.expr("lo div width"), F.expr("(hi - 1) div width"))))
+    return sources, spread.groupBy("src_id", "phase", "bucket").agg(F.sort_array(F.collect_list(F.struct("hi", "dst_id", "negative"))).alias("out"))
 
 
 def joined_hits(edges: DataFrame, egos: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """:func:`hits` with walks as rows, joined to the edges step by step; each step is a written table."""
+    """:func:`hits` with walks as rows, joined to the edges step by step; each step is a written table.
+
+    A step joins the draw's total, then the bucket the draw falls into: walks at a hub are spread over its buckets.
+    """
     below, seed = rng.go_on_below(settings.alpha), settings.seed % rng.P
-    steps = stage(ranges(edges).groupBy("src_id", "phase", "total").agg(F.sort_array(F.collect_list(F.struct("hi", "dst_id", "negative"))).alias("out")), "ranges")
+    sources, buckets = ranges(edges)
+    sources, buckets = checked(stage(sources, "sources"), 48), stage(buckets, "buckets")
     h = rng.mix_col(rng.mix_col(F.lit(seed).cast("long"), F.col("ego")), F.col("wid"))
     state = egos.select("ego", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(settings.num_walks - 1).cast("long"))).alias("wid"))
     state = stage(state.select("ego", "wid", h.alias("h"), F.col("ego").alias("node"), F.lit(0).alias("phase")), "walk")
@@ -79,7 +92,8 @@ def joined_hits(edges: DataFrame, egos: DataFrame, settings: Settings = Settings
     while not state.isEmpty():
         go = state.where(rng.mix_col(F.col("h"), F.lit(4 * step).cast("long")) < below)
         pick = (rng.mix_col(F.col("h"), F.lit(4 * step + 1).cast("long")) * (1 << 31) + rng.mix_col(F.col("h"), F.lit(4 * step + 2).cast("long"))) % F.col("total")
-        met = go.join(steps.withColumnRenamed("phase", "p"), (F.col("node") == F.col("src_id")) & (F.col("phase") == F.col("p"))).withColumn("pick", pick)
+        drawn = go.withColumnRenamed("node", "src_id").join(sources, ["src_id", "phase"]).withColumn("pick", pick)
+        met = drawn.withColumn("bucket", F.expr("pick div width")).join(buckets, ["src_id", "phase", "bucket"])
         edge = F.get(F.filter("out", lambda e: e["hi"] > F.col("pick")), F.lit(0))
         state = stage(met.select("ego", "wid", "h", edge.alias("e"), "phase").select("ego", "wid", "h", F.col("e.dst_id").alias("node"), F.greatest(F.col("phase"), F.col("e.negative").cast("int")).alias("phase")), "walk")
         visits = visits.unionByName(state.select("ego", "wid", "node", "phase"))

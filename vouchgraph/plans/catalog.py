@@ -12,6 +12,7 @@ from ..functions import rng
 from ..operators import contexts, decay, neighbors, paths, polls, scores, walks
 from ..settings import Settings
 from ..sources import oplog
+from . import histories
 from .engine import TrustEngine
 from .staging import shared_dir
 from .testgraphs import MIXED_OPS, USER_OPS, mixed_ops, user_ops
@@ -417,7 +418,7 @@ r{i + 1} AS (SELECT node, (coalesce(got, 0) * 85 // 100 + {int((1 - 0.85) * 10**
 
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     edges = contexts.last_write(contexts.route(user_ops(spark, sf).withColumn("context", F.lit(""))))
-    path = paths.frontier_path(edges, EGOS[0], FOCUS) or []
+    path = paths.cheapest_path(edges, EGOS[0], FOCUS) or []
     return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "position int, node string")
 
 
@@ -438,17 +439,8 @@ def all_egos(spark: SparkSession, sf: str) -> DataFrame:
 
 def exact_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The limit that walks approach, by dense solves, for graphs of a few thousand nodes."""
-    import numpy as np
-
-    from ..functions import kernel
-
     g = _user_graph(spark, sf)
-    t = g.links.toArrow()
-    s, d, w = (t.column(c).to_numpy() for c in ("src_id", "dst_id", "w"))
-    signed = np.where(t.column("negative").to_numpy(zero_copy_only=False), -w, w) / 1e6
-    n = int(max(s.max(), d.max())) + 1
-    me = g.node_id(EGOS[0])
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(kernel.exact(s, d, signed, me, n, 0.85))], "node long, score double")
+    return g.exact(g.node_id(EGOS[0]))
 
 
 QUERIES: dict[str, Query] = {
@@ -459,12 +451,14 @@ QUERIES: dict[str, Query] = {
         edge_normalized_path, edge_normalized_neighbors, focus_two_hop, walk_hits, walk_hits_joined, scores_raw, scores_blended,
         scores_filtered_paged, scores_omit_neg, quantile_bounds, score_clusters, node_score, mutual_scores, latency_percentiles,
         global_user_scores, poll_results, new_edges, zero_opinion_pagerank, shortest_path, graph_view, all_egos, exact_scores)},
+    **histories.QUERIES,
 }
 
 _HITS = f"{_WALK}\nSELECT pos_hits, neg_hits, a.name AS src, b.name AS dst FROM hits {_NAMES}"
 _WITH_BOUNDS = f"{_WALK},{_BLEND},{_BOUNDS}"
 
 SQL: dict[str, str] = {
+    **histories.SQL,
     "edges_lww": f"WITH {USER_OPS},{_ROUTED},{_LAST} SELECT context, src, dst, weight FROM edges",
     "edges_decay": f"WITH {USER_OPS},{_ROUTED},{_DECAY}",
     "edges_after_delete_node": _DELETED,

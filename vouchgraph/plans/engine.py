@@ -6,12 +6,15 @@ used ones given up beyond ``walks_cache_size``.
 
 from __future__ import annotations
 
+import functools
 from collections import OrderedDict
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernel
 from ..operators import contexts, decay, neighbors, paths, registry, scores, walks
 from ..settings import EPSILON, Settings
 from ..sources import oplog
@@ -30,11 +33,16 @@ class TrustGraph:
         self._ops = ops
         self._with_decay = with_decay
         self._hits: OrderedDict[int, DataFrame] = OrderedDict()
+        self._kept: list[DataFrame] = []
 
     @property
     def spark(self) -> SparkSession:
         return self._ops.sparkSession
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return df
+
     @cached_property
     def _routed(self) -> DataFrame:
         """This context's edge operations, written once: everything else is read from them."""
@@ -42,29 +50,40 @@ class TrustGraph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """(context, node_id, name, kind, owner)."""
-        return registry.register(self._routed).persist()
+        """(context, node_id, name, kind, owner, at); users that a calculate operation names are registered by it."""
+        ego = F.coalesce("node", "src")
+        asked = self._ops.where((F.col("kind") == "calculate") & (F.col("context") == self.context) & ego.startswith("U"))
+        return self._keep(registry.register(self._routed, asked.select("context", "op_idx", ego.alias("name"))))
 
     @cached_property
     def edges(self) -> DataFrame:
         """(context, src, dst, weight, op_idx)."""
         found = decay.decayed(self._routed, self.settings) if self._with_decay else contexts.last_write(self._routed)
-        return contexts.drop_deleted(found, self._ops).persist()
+        return self._keep(contexts.drop_deleted(found, self._ops))
 
     @cached_property
     def links(self) -> DataFrame:
         """(src_id, dst_id, w, negative)."""
-        return walks.by_id(self.edges, self.nodes).persist()
+        return self._keep(walks.by_id(self.edges, self.nodes))
 
     @cached_property
     def owners(self) -> DataFrame:
-        return registry.object_owner(self.nodes, self.edges).persist()
+        return self._keep(registry.object_owner(self.nodes, self.edges))
 
     @cached_property
     def zero(self) -> DataFrame:
-        """(node, z): the last zero opinion set for each known node."""
-        z = self._ops.where((F.col("kind") == "zero_opinion") & (F.col("context") == self.context)).groupBy(F.col("node").alias("name")).agg(F.max_by("score", "op_idx").alias("z"))
-        return z.join(self.nodes.select("name", F.col("node_id").alias("node")), "name").select("node", "z").persist()
+        """(node, z): the last zero opinion of each node, of those set in this context after the node was registered."""
+        z = self._ops.where((F.col("kind") == "zero_opinion") & (F.col("context") == self.context)).select(F.col("node").alias("name"), "score", "op_idx")
+        known = z.join(self.nodes.select("name", "at", F.col("node_id").alias("node")), "name").where("op_idx * 2 > at")
+        return self._keep(known.groupBy("node").agg(F.max_by("score", "op_idx").alias("z")))
+
+    def close(self) -> None:
+        """Let go of all cached tables; what is asked for later is computed again."""
+        self.clear()
+        while self._kept:
+            self._kept.pop().unpersist()
+        for name in ("nodes", "edges", "links", "owners", "zero"):
+            self.__dict__.pop(name, None)
 
     def node_id(self, name: str) -> int | None:
         row = self.nodes.where(F.col("name") == name).select("node_id").first()
@@ -87,6 +106,23 @@ class TrustGraph:
                 self._hits.popitem(last=False)[1].unpersist()
         return self._hits[ego]
 
+    def take_over(self, old: TrustGraph | None) -> None:
+        """Cached hits of ``old``, the graph before its log went on, of all egos whose walks can't have changed.
+
+        A walk depends on the edges of the nodes it visits alone: an ego is walked again iff a hit node's outgoing
+        edges differ. Nothing is taken over if ids have changed, as after a bulk load or a reset.
+        """
+        if old is None or not old._hits:
+            return
+        same = old.nodes.select("node_id", "name").join(self.nodes.select("node_id", "name"), ["node_id", "name"]).count()
+        if same != old.nodes.count():
+            return
+        both = old.links.unionByName(self.links)
+        changed = both.groupBy(*both.columns).count().where("count = 1").select(F.col("src_id").alias("src"))
+        every = functools.reduce(DataFrame.unionByName, old._hits.values())
+        again = {r["ego"] for r in walks.touched(every, changed).collect()}  # at most a row a cached ego
+        self._hits.update((ego, h) for ego, h in old._hits.items() if ego not in again)
+
     def clear_ego(self, name: str) -> None:
         found = self._hits.pop(self.node_id(name), None)
         if found is not None:
@@ -96,6 +132,16 @@ class TrustGraph:
         while self._hits:
             self._hits.popitem()[1].unpersist()
 
+    def exact(self, ego: int) -> DataFrame:
+        """(node, score): the limit that raw scores approach; an error for graphs of more than kernel.EXACT_NODES nodes."""
+        n = self.nodes.count()
+        if n > kernel.EXACT_NODES:
+            raise ValueError(f"{n} nodes are too many for dense solves; walk instead")
+        t = self.links.toArrow()
+        s, d, w = (t.column(c).to_numpy() for c in ("src_id", "dst_id", "w"))
+        signed = np.where(t.column("negative").to_numpy(zero_copy_only=False), -w, w) / 1e6
+        return self.spark.createDataFrame([(i, float(x)) for i, x in enumerate(kernel.exact(s, d, signed, ego, n, self.settings.alpha))], "node long, score double")
+
     def blended(self, hits: DataFrame) -> DataFrame:
         """(ego, node, score) with zero opinions."""
         return scores.blend(scores.raw(hits), self.zero, self.settings.zero_opinion_factor)
@@ -113,29 +159,46 @@ class TrustEngine:
     def __init__(self, ops: DataFrame, settings: Settings = Settings(), with_decay: bool = True) -> None:
         self.ops, self.settings, self.with_decay = ops, settings, with_decay
         self._graphs: dict[str, TrustGraph] = {}
+        self._before: dict[str, TrustGraph] = {}
 
     @cached_property
+    def _replayed(self) -> tuple[DataFrame, DataFrame]:
+        """Routed edge operations and the operations that still count, from the log as it was written down once."""
+        return contexts.replay(staging.stage(self.ops, "log"), self.settings if self.with_decay else None)
+
+    @property
     def routed(self) -> DataFrame:
-        bulk = self.ops.where("kind = 'bulk_load'")
-        if not bulk.isEmpty():
-            last = bulk.agg(F.max("op_idx")).first()[0]
-            return contexts.bulk(bulk).unionByName(contexts.route(self.ops.where(F.col("op_idx") > last)))
-        created = self.ops.where("kind = 'create_context'")
-        return contexts.route(self.ops) if created.isEmpty() else contexts.route(self.ops).unionByName(contexts.seed(self.ops))
+        return self._replayed[0]
 
     def graph_of(self, context: str | None = "") -> TrustGraph:
         key = context or ""
         if key not in self._graphs:
-            self._graphs[key] = TrustGraph(self.routed, self.ops, key, self.settings, self.with_decay)
+            g = self._graphs[key] = TrustGraph(*self._replayed, key, self.settings, self.with_decay)
+            g.take_over(self._before.pop(key, None))
         return self._graphs[key]
 
+    def all_edges(self) -> DataFrame:
+        """(context, src, dst, weight, op_idx) of every context."""
+        routed, later = self._replayed
+        return contexts.drop_deleted(decay.decayed(routed, self.settings) if self.with_decay else contexts.last_write(routed), later)
+
+    def close(self) -> None:
+        """Let go of what all contexts have cached."""
+        for g in self._graphs.values():
+            g.close()
+
     def reset(self) -> TrustEngine:
         """An engine without any operations."""
         return TrustEngine(self.ops.limit(0), self.settings, self.with_decay)
 
     def apply(self, more: DataFrame) -> TrustEngine:
-        """An engine whose log goes on with ``more``; this one keeps what it has read."""
-        return TrustEngine(self.ops.unionByName(more), self.settings, self.with_decay)
+        """An engine whose log goes on with ``more``; this one keeps what it has read.
+
+        Hits of egos whose walks meet no node with changed edges are taken over, the others are walked again.
+        """
+        after = TrustEngine(self.ops.unionByName(more), self.settings, self.with_decay)
+        after._before = dict(self._graphs)
+        return after
 
     def _empty(self, schema: str) -> DataFrame:
         return self.ops.sparkSession.createDataFrame([], schema)
@@ -192,6 +255,8 @@ class TrustEngine:
 
     def neighbors(self, ego: str, focus: str, direction: int = 0, context: str | None = "", kind: str = "", hide_personal: bool = False, gt: float | None = None, gte: float | None = None, lt: float | None = None, lte: float | None = None, index: int | None = 0, count: int | None = 16, kind_filter: bool = False) -> DataFrame:
         """The focus's edges: the value is the edge's weight, the cluster the ego's of that node; own nodes come first."""
+        oplog.required(ego, "ego")
+        oplog.required(focus, "focus")
         oplog.bounds(gt, gte, lt, lte)
         oplog.direction(direction)
         index, count = oplog.page(index, count)
@@ -211,21 +276,25 @@ class TrustEngine:
         return self._score_rows(g, me, ego, rows, "weight")
 
     def mutual_scores(self, ego: str, context: str | None = "") -> DataFrame:
-        """Users the ego scores above 0, by node id, with their score of the ego."""
+        """Users the ego scores above 0, by node id, with their score of the ego; only these users walk."""
+        oplog.required(ego, "ego")
         g = self.graph_of(context)
         me = g.user_id(ego)
         if me is None:
             return self.scores("", context)
-        blended = staging.stage(g.blended(g.calculate(g.all_users())), "mutual")
-        bounds = g.bounds(blended)
-        own = scores.clustered(blended.where(F.col("ego") == me), g.nodes, bounds).withColumnRenamed("cluster", "c")
-        back = scores.clustered(blended.where(F.col("node") == me), g.nodes, bounds, by_ego_kind=True).select(F.col("ego").alias("node"), F.col("score").alias("rs"), F.col("cluster").alias("rc"))
+        mine = g.blended(g.hits(me))
+        liked = mine.where("score > 0").join(g.all_users().withColumnRenamed("ego", "node"), "node").select(F.col("node").alias("ego"))
+        others = staging.stage(g.blended(g.calculate(staging.stage(liked, "liked"))), "mutual")
+        own = scores.clustered(mine, g.nodes, g.bounds(mine)).withColumnRenamed("cluster", "c")
+        back = scores.clustered(others.where(F.col("node") == me), g.nodes, g.bounds(others), by_ego_kind=True).select(F.col("ego").alias("node"), F.col("score").alias("rs"), F.col("cluster").alias("rc"))
         users = g.nodes.where("kind = 'U'").select(F.col("node_id").alias("node"), "name")
         both = own.where("score > 0").join(users, "node").join(back, "node", "left")
         return both.select(F.lit(ego).alias("src"), F.col("name").alias("dst"), F.col("score").alias("score_value_of_dst"), F.coalesce("rs", F.lit(0.0)).alias("score_value_of_src"), F.col("c").cast("int").alias("score_cluster_of_dst"), F.coalesce("rc", F.lit(0)).cast("int").alias("score_cluster_of_src"), F.col("node").alias("position")).orderBy("position")
 
     def graph(self, ego: str, focus: str, context: str | None = "", positive_only: bool = False, index: int | None = 0, count: int | None = 16) -> DataFrame:
         """Path from ego to focus and the focus's neighbourhood, with the ego's scores of the targets."""
+        oplog.required(ego, "ego")
+        oplog.required(focus, "focus")
         index, count = oplog.page(index, count)
         g = self.graph_of(context)
         me = g.user_id(ego)
@@ -252,6 +321,7 @@ class TrustEngine:
         return g.edges.join(ids, "src").orderBy("node_id", (F.col("weight") < 0), "dst").select("src", "dst", "weight")
 
     def connected(self, node: str, context: str | None = "") -> DataFrame:
+        oplog.required(node, "node")
         return self.graph_of(context).edges.where(F.col("src") == node).select("src", "dst")
 
     def register_views(self, context: str | None = "") -> None:
@@ -260,11 +330,6 @@ class TrustEngine:
         g.nodes.createOrReplaceTempView("trust_nodes")
         g.edges.createOrReplaceTempView("trust_edges")
 
-    def affected(self, changed: DataFrame, hits: DataFrame, context: str | None = "") -> DataFrame:
-        """Egos (ego) whose hits must be redone after the edges ``changed`` (src) changed."""
-        ids = self.graph_of(context).nodes.select(F.col("name").alias("src"), "node_id")
-        return walks.touched(hits, changed.join(ids, "src").select(F.col("node_id").alias("src")))
-
     def version(self) -> str:
         return VERSION
 

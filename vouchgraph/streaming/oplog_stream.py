@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.decay import Fold
 from ..plans.engine import TrustEngine
-from ..settings import EPSILON, Settings
+from ..settings import Settings
 from ..sources import oplog
 
 
@@ -28,12 +29,13 @@ class Published:
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), min_ops: int = 1) -> None:
         self.spark, self.folder, self.settings, self.min_ops = spark, folder.rstrip("/"), settings, min_ops
-        self.stamp, self.waiting, self.engine = -1, 0, None
+        self.stamp, self.last, self.waiting, self.engine = -1, -1, 0, None
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """foreachBatch function; publishes once at least ``min_ops`` operations wait."""
         path = f"{self.folder}/batch={number}"
         oplog.log(batch).write.mode("overwrite").parquet(path)
+        self.last = number
         self.waiting += self.spark.read.parquet(path).count()
         if self.waiting >= self.min_ops:
             self.publish(number)
@@ -42,14 +44,25 @@ class Published:
         ops = self.spark.read.schema(oplog.SCHEMA + ", batch int").parquet(self.folder).drop("batch")
         self.engine, self.stamp, self.waiting = TrustEngine(ops, self.settings), number, 0
 
+    def recover(self) -> None:
+        """Publish what an earlier run has left in the folder, under the number of its last batch; nothing if it is empty."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        numbers = [int(f.getPath().getName()[6:]) for f in files.listStatus(path) if f.getPath().getName().startswith("batch=")] if files.exists(path) else []
+        if numbers:
+            self.last = max(numbers)
+            self.publish(self.last)
+
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Start, or go on after a restart: readers have an engine before the next batch arrives."""
+        self.recover()
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).start()
 
     def sync(self, query: StreamingQuery) -> int:
         """Wait until everything that has arrived is published; returns the stamp."""
         query.processAllAvailable()
         if self.waiting:
-            self.publish(self.stamp + 1)
+            self.publish(self.last)
         return self.stamp
 
 
@@ -62,22 +75,10 @@ def decay_stream(routed: DataFrame, settings: Settings = Settings()) -> DataFram
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scale, most, names, weights, ids = state.get if state.exists else (0, 0.0, [], [], [])
-        edges = {d: (w, i) for d, w, i in zip(names, weights, ids)}
-        before = dict(edges)
-        for r in pd.concat(list(frames)).sort_values("op_idx").itertuples(index=False):
-            weight, factor = r.amount * settings.vsids_bump ** (r.magnitude - scale), 1.0
-            if abs(weight) > settings.rescale_threshold:
-                factor = settings.vsids_bump ** (r.magnitude - scale)
-                scale, weight = int(r.magnitude), r.amount
-                most = max(most / factor, abs(weight))
-            else:
-                most = max(most, abs(weight))
-            edges = {d: (w / factor, i) for d, (w, i) in edges.items() if abs(w / factor) > most * settings.deletion_ratio}
-            if abs(weight) > EPSILON:
-                edges[r.dst] = (weight, int(r.op_idx))
-            else:
-                edges.pop(r.dst, None)
-        state.update((scale, most, list(edges), [w for w, _ in edges.values()], [i for _, i in edges.values()]))
+        before = {d: (w, i) for d, w, i in zip(names, weights, ids)}
+        own = Fold(settings, scale, most, dict(before))
+        edges = own.apply(pd.concat(list(frames)))
+        state.update((own.scale, own.most, list(edges), [w for w, _ in edges.values()], [i for _, i in edges.values()]))
         changed = [(key[0], key[1], d, w, i) for d, (w, i) in edges.items() if before.get(d) != (w, i)]
         gone = [(key[0], key[1], d, 0.0, before[d][1]) for d in before if d not in edges]
         yield pd.DataFrame(changed + gone, columns=["context", "src", "dst", "weight", "op_idx"])
