@@ -157,6 +157,12 @@ def test_registry(spark):
     assert [(r["name"], r["owner"]) for r in n.orderBy("node_id").collect()] == [("U1", None), ("O1", "U1"), ("U2", None), ("U3", None), ("B1", None)]
 
 
+def test_dense_ids_across_partitions(spark):
+    sparse = spark.range(0, 5000, 1, 7).selectExpr("if(id % 5 = 0, 'a', 'b') ctx", "id * 1000003 * if(id % 2 = 0, 1, -1) at")
+    got = registry.dense_ids(sparse, "ctx", ["at"], "n").toPandas().sort_values(["ctx", "at"])
+    assert all((own.n.to_numpy() == np.arange(len(own))).all() for _, own in got.groupby("ctx"))
+
+
 def test_decay_golden(spark):
     s = Settings(vsids_bump=1.06)
     edges = [("U1", "U4", 3, "", 0), ("U1", "U2", 3, "", 0), ("U1", "U3", 1, "", 20), ("U1", "U4", 1, "", 200)]
@@ -206,7 +212,88 @@ def test_graph_view(spark):
 
 def test_contraction():
     assert paths.contract(["U1", "B1", "U2", "U3"], {("U1", "B1"): 0.5, ("B1", "U2"): 0.5, ("U2", "U3"): 1.0}) == [("U1", "U2", 0.25), ("U2", "U3", 1.0)]
-    assert paths.astar({"a": [("b", 5.0), ("c", 3.0)], "b": [("d", 4.0)], "c": [("e", 1.0)], "d": [("f", 10.0)], "e": [("g", 1.0)], "g": [("h", 1.0)], "h": [("f", 1.0)]}, "a", "f") == ["a", "c", "e", "g", "h", "f"]
+
+
+def test_cheapest_path(spark):
+    links = spark.createDataFrame([("a", "b", 5.0), ("a", "c", 3.0), ("b", "d", 4.0), ("c", "e", 1.0), ("d", "f", 10.0), ("e", "g", 1.0), ("g", "h", 1.0), ("h", "f", 1.0), ("x", "f", 0.5), ("f", "c", 1.0)], "src string, dst string, cost double")
+    assert paths.cheapest(links, "a", "f") == ["a", "c", "e", "g", "h", "f"]
+    assert paths.cheapest(links, "a", "x") is None and paths.cheapest(links, "a", "a") == ["a"] and paths.cheapest(links, "x", "c") == ["x", "f", "c"]
+
+
+def _op(spark, kind, *rows):
+    """Operations (op_idx, context, src, dst, amount, node) of one kind."""
+    return oplog.log(spark.createDataFrame([*rows], "op_idx long, context string, src string, dst string, amount double, node string"), kind)
+
+
+def _weights(log, **args):
+    found: dict[str, dict] = {}
+    for r in TrustEngine(log, **{"with_decay": False, **args}).all_edges().collect():
+        found.setdefault(r["context"], {})[r["src"], r["dst"]] = round(r["weight"], 4)
+    return found
+
+
+def test_log_goes_on_after_a_bulk_load(spark):
+    load = _op(spark, "bulk_load", (10, "", "U1", "B1", 1.0, "x"), (11, "X", "U1", "U2", 1.0, "x"), (12, "", "U3", "B1", 2.0, "x"), (13, "Y", "U4", "B2", 1.0, "x"))
+    before = _op(spark, "edge", (1, "Z", "U7", "U8", 1.0, None))
+    zero = oplog.log(spark.createDataFrame([(2, "U7", 0.5)], "op_idx long, node string, score double"), "zero_opinion")
+    after = _op(spark, "edge", (20, "", "U1", "B1", 5.0, None), (21, "", "U2", "U3", 1.0, None)).unionByName(_op(spark, "delete_edge", (22, "", "U3", "B1", None, None))).unionByName(_op(spark, "delete_node", (23, "Y", None, None, None, "U4")))
+    e = TrustEngine(before.unionByName(zero).unionByName(load).unionByName(after), with_decay=False)
+    got = _weights(e.ops)
+    assert got == {"": {("U1", "U2"): 1.0, ("U1", "B1"): 5.0, ("U2", "U3"): 1.0}, "X": {("U1", "U2"): 1.0, ("U2", "U3"): 1.0}, "Y": {("U1", "U2"): 1.0, ("U2", "U3"): 1.0}}
+    assert e.graph_of().zero.count() == 0 and [r["node"] for r in e.nodelist().collect()] == ["U1", "U2", "B1", "U3", "U4", "B2"]
+
+
+def test_bulk_loads_and_resets_replace(spark):
+    a = _op(spark, "bulk_load", (1, "", "U1", "U2", 1.0, "a"), (2, "X", "U1", "U3", 1.0, "a"))
+    b = _op(spark, "bulk_load", (3, "", "U5", "U6", 2.0, "b"))
+    assert _weights(a.unionByName(b)) == {"": {("U5", "U6"): 2.0}}
+    reset = _op(spark, "reset", (4, "", None, None, None, None))
+    assert _weights(a.unionByName(b).unionByName(reset)) == {}
+    late = _op(spark, "edge", (5, "X", "U1", "U9", 3.0, None))
+    assert _weights(a.unionByName(reset).unionByName(late)) == {"": {("U1", "U9"): 3.0}, "X": {("U1", "U9"): 3.0}}
+
+
+def test_created_context_gets_decayed_edges_of_nodes_left(spark):
+    edges = ops(spark, [("U1", "U2", 1, "", 10), ("U3", "U4", 1, "", 0), ("U1", "B1", 1, "", 0), ("U5", "U1", -1, "", 0)])
+    gone = _op(spark, "delete_node", (7, "", None, None, None, "U3"))
+    made = _op(spark, "create_context", (8, "X", None, None, None, None), (9, "X", None, None, None, None))
+    got = _weights(edges.unionByName(gone).unionByName(made), with_decay=True)
+    assert got["X"] == {("U1", "U2"): 1.3439, ("U5", "U1"): -1.0} and got[""][("U1", "U2")] == 1.3439
+    load = _op(spark, "bulk_load", (1, "", "U1", "U2", 1.0, None), (2, "", "U1", "B2", 1.0, None))
+    assert _weights(load.unionByName(_op(spark, "create_context", (3, "X", None, None, None, None)))) == {"": {("U1", "U2"): 1.0, ("U1", "B2"): 1.0}, "X": {("U1", "U2"): 1.0}}
+
+
+def test_calculate_registers_users_and_zero_opinions_need_nodes(spark):
+    log = ops(spark, [("U1", "U2", 1)]).unionByName(_op(spark, "calculate", (5, "", None, None, None, "U9"), (6, "", None, None, None, "B9")))
+    zero = oplog.log(spark.createDataFrame([(3, "U9", 0.5), (4, "U2", 0.25), (7, "U9", 0.75), (8, "U1", 0.1)], "op_idx long, node string, score double"), "zero_opinion")
+    g = TrustEngine(log.unionByName(zero.where("op_idx < 7")), with_decay=False).graph_of()
+    assert [r["name"] for r in g.nodes.orderBy("node_id").collect()] == ["U1", "U2", "U9"]
+    assert {r["node"]: r["z"] for r in g.zero.collect()} == {1: 0.25}
+
+
+def test_untouched_egos_keep_their_hits(spark):
+    e = engine(spark, [("U1", "U2", 1), ("U3", "U4", 1), ("U2", "U1", 1), ("U4", "U3", 1)], Settings(num_walks=50))
+    first = e.graph_of()
+    for name in ("U1", "U3"):
+        first.hits(first.node_id(name))
+    more = ops(spark, [("U4", "U9", 2)]).withColumn("op_idx", F.lit(100).cast("long"))
+    after = e.apply(more).graph_of()
+    assert list(after._hits) == [first.node_id("U1")]
+    fresh = TrustEngine(e.ops.unionByName(more), e.settings).graph_of()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(after.hits(0)) == key(fresh.hits(0)) and key(after.hits(2)) == key(fresh.hits(2)) != key(first.hits(2))
+
+
+def test_null_arguments(spark):
+    e = engine(spark, F1)
+    for call in (lambda: e.scores(None), lambda: e.node_score("U1", None), lambda: e.neighbors(None, "U1"), lambda: e.neighbors("U1", None), lambda: e.mutual_scores(None), lambda: e.graph(None, "U1"), lambda: e.graph("U1", None), lambda: e.connected(None)):
+        with pytest.raises(ValueError, match="should not be null"):
+            call()
+
+
+def test_exact_is_for_small_graphs():
+    with pytest.raises(ValueError, match="too many"):
+        kernel.exact(np.array([0]), np.array([1]), np.array([1.0]), 0, kernel.EXACT_NODES + 1, 0.85)
 
 
 def test_two_hops(spark):

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import contexts, decay, neighbors, paths, polls, scores, walks
+from ..operators import contexts, decay, neighbors, polls, scores, walks
 from ..settings import Settings
 from ..sources import oplog
-from . import histories
+from . import histories, reads
 from .engine import TrustEngine
 from .staging import shared_dir
 from .testgraphs import MIXED_OPS, USER_OPS, mixed_ops, user_ops
@@ -416,21 +416,6 @@ r{i + 1} AS (SELECT node, (coalesce(got, 0) * 85 // 100 + {int((1 - 0.85) * 10**
     return sql + f"\nSELECT node, rank FROM r{iterations}"
 
 
-def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    edges = contexts.last_write(contexts.route(user_ops(spark, sf).withColumn("context", F.lit(""))))
-    path = paths.cheapest_path(edges, EGOS[0], FOCUS) or []
-    return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "position int, node string")
-
-
-def graph_view(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixed_engine(spark, sf).graph(EGOS[0], FOCUS, count=40)
-
-
-def scores_page(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: an ego's page of scores with clusters and reverse scores."""
-    return TrustEngine(user_ops(spark, sf), Settings(num_walks=2000, num_score_quantiles=10)).scores(EGOS[0], count=30)
-
-
 def all_egos(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of every user for every user, 10,000 walks an ego: the batch that throughput is measured by."""
     g = _user_graph(spark, sf, Settings())
@@ -444,13 +429,13 @@ def exact_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "scores": scores_page,
+    **reads.QUERIES,
     **{f.__name__: f for f in (
         edges_lww, edges_decay, edges_after_delete_node, router_contexts, create_context_seed, bulk_load_contexts, csv_source, array_source,
         node_registry, object_owner, nodelist, edgelist, connected, neighbors_out, neighbors_in, neighbors_all, neighbors_opinions,
         edge_normalized_path, edge_normalized_neighbors, focus_two_hop, walk_hits, walk_hits_joined, scores_raw, scores_blended,
         scores_filtered_paged, scores_omit_neg, quantile_bounds, score_clusters, node_score, mutual_scores, latency_percentiles,
-        global_user_scores, poll_results, new_edges, zero_opinion_pagerank, shortest_path, graph_view, all_egos, exact_scores)},
+        global_user_scores, poll_results, new_edges, zero_opinion_pagerank, all_egos, exact_scores)},
     **histories.QUERIES,
 }
 
@@ -459,6 +444,7 @@ _WITH_BOUNDS = f"{_WALK},{_BLEND},{_BOUNDS}"
 
 SQL: dict[str, str] = {
     **histories.SQL,
+    **reads.SQL,
     "edges_lww": f"WITH {USER_OPS},{_ROUTED},{_LAST} SELECT context, src, dst, weight FROM edges",
     "edges_decay": f"WITH {USER_OPS},{_ROUTED},{_DECAY}",
     "edges_after_delete_node": _DELETED,
