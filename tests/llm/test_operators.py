@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import html.parser
 import math
 import random
 from collections import Counter, defaultdict
@@ -9,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from vouchgraph.llm import bpe, chat, common, embed, groups, langid, lm, minhash, mixing, pages, quality, warc
 
@@ -455,6 +458,111 @@ def test_pages_vote_for_every_path(spark):
     assert all(r["text"] == f"Only text of page {r['page_id']}, long enough to be scored." for r in got)
 
 
+def test_pages_nested_and_quoted():
+    deep = pages.Page("<div class='a1'>" * 100_000 + "<p>deep text</p>" + "</section>" * 100_000)
+    best = deep.best()
+    assert deep.depth[best] == 100_000 and deep.text(best) == "deep text" and len(deep.digest) == 100_001
+    page = pages.Page('<body><div class="x" title="a > b"><p title=\'x > y\' data-a=1>hello</p></div>')
+    assert page.text(page.best()) == "hello" and page.name(page.best()) == "body>div.x"
+    assert pages.Page("<body><p>seen<script>var a = 1 < 2").text(None) == "seen"
+    assert pages.Page("<body><p>seen<script>if (a > 1) b").text(None) == "seen" == pages.Page("<body><p>seen<!-- <b> no").text(None)
+    assert pages.Page('<body><div title="open><p>still seen</p>').text(None) == "still seen"
+    assert pages.Page("<a " * 200_000).text(None).startswith("<a <a")
+
+
+class _Tree(html.parser.HTMLParser):
+    """Another parser of well-formed pages: nested lists (kind, tag, children), strings, and (link, string)."""
+
+    def __init__(self, text):
+        super().__init__()
+        self.root = ("", "", [])
+        self.open, self.link = [self.root], False
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+        elif tag in pages._BOX:
+            name = (dict(attrs).get("class") or "").split()
+            kind = tag + ("." + "".join("#" if c.isdigit() and not (i and name[0][i - 1].isdigit()) else "" if c.isdigit() else c for i, c in enumerate(name[0])).lower() if name else "")
+            node = (kind, tag, [])
+            self.open[-1][2].append(node)
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+        elif tag in pages._BOX:
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append((self.link, data))
+
+
+def _slow_scores(text):
+    """Score and text of each path of a page, by recursion over the other parser's tree."""
+    scores, texts = Counter(), defaultdict(list)
+
+    def visit(node, path):
+        kind, tag, inside = node
+        here = path + (kind,)
+        plain = sum(len(x[1].strip()) for x in inside if len(x) == 2 and not x[0])
+        link = sum(len(x[1].strip()) for x in inside if len(x) == 2 and x[0])
+        total = plain * plain / (plain + link) if plain else 0.0
+        parts = []
+        for x in inside:
+            if len(x) == 2:
+                parts.append(x[1])
+            else:
+                got, words = visit(x, here)
+                total += 0.6 * got
+                parts += [] if x[1] in pages._ASIDE else words
+        if tag:
+            total *= pages._FAVOUR.get(tag, 1.0)
+            scores[here[1:]] += total
+            texts[here[1:]] += parts
+        return total, parts
+
+    visit(_Tree(text).root, ())
+    return {p: s for p, s in scores.items() if s > 0}, texts
+
+
+def _random_page(rng, depth=0):
+    """A container with text, links and others in it; no two nested ones have one kind."""
+    tag = rng.choice(["div", "section", "article", "nav", "footer", "main"]) if depth else "body"
+    name = f' class="{rng.choice(["a", "b7", "c12", "d"])}{depth}"' if depth and rng.random() < 0.8 else ""
+    inside = "".join(rng.choice([f"<p>{_text(rng, 'en', rng.randint(1, 12))}</p>", f"<a href='#'>{_text(rng, 'de', 2)}</a> ", f"<b>{_text(rng, 'en', 3)}</b> "]) for _ in range(rng.randint(0, 4)))
+    inside += "".join(_random_page(rng, depth + 1) for _ in range(rng.randint(0, 3))) if depth < 4 else ""
+    return f"<{tag}{name}>{inside}</{tag}>"
+
+
+def test_pages_match_brute_force(spark):
+    rng = random.Random(21)
+    data = [(i, f"http://h{i % 7}.org/{i}", _random_page(rng)) for i in range(150)] + [(500, "http://h1.org/again", None)]
+    data += [(501, data[3][1], data[3][2]), (501, data[3][1], data[3][2])]
+    slow = {i: _slow_scores(x) for i, _, x in data if x}
+    votes = defaultdict(Counter)
+    for i, url, x in data:
+        if x:
+            most = max(slow[i][0].values(), default=1.0)
+            votes[url.split("/")[2]].update({p: round(1000 * s / most) for p, s in slow[i][0].items()})
+    digest = lambda p: functools.reduce(lambda d, k: xxhash.xxh3_128_digest(d + k.encode()), p, b"")
+    won = {h: min(v, key=lambda p: (-v[p], len(p), digest(p))) for h, v in votes.items()}
+    got = pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert len(got) == len(data)
+    for r in got:
+        if r["page_id"] == 500:
+            assert r["method"] == "none"
+            continue
+        scores, texts = slow[r["page_id"]]
+        win = won[r["host"]]
+        want = win if win in texts else min(scores, key=lambda p: (-scores[p], len(p), digest(p))) if scores else None
+        assert r["path"] == (">".join(want) if want else None) and r["method"] == ("consensus" if want == win else "own" if want else "whole")
+        if want:
+            assert r["text"].split() == " ".join(texts[want]).split()
+
+
 def test_warc_archives_stay_in_a_folder(spark, tmp_path):
     table = spark.createDataFrame([(i, f"http://a.org/{i}", f"<p>{i // 2}</p>") for i in range(8)], "page_id long, url string, html string")
     want = rows(warc.deduplicate(table).drop("file", "offset", "length"))

@@ -12,12 +12,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+#: Attributes of a tag: a quoted value may hold ">". Nothing in it is tried twice, so broken tags cost no more than others.
+_ATTRIBUTES = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>|<[!?][^>]*>", re.S | re.I)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
 _BOX = frozenset("html body div article section main td th nav aside header footer ul ol dl table form blockquote figure details center".split())
@@ -28,16 +31,25 @@ _VOID = frozenset("br hr img input meta link area base col embed source track wb
 
 
 class Page:
-    """Containers and text pieces of a page, in one pass over its tags; tags that nothing closes do no harm."""
+    """Containers and text pieces of a page, in one pass over its tags; tags that nothing closes do no harm.
+
+    A container's path is a number: its parent's path and its own tag and class. So depth costs nothing; a path's
+    digest names it in all pages, its text is only put together for a path that is shown.
+    """
 
     def __init__(self, text: str) -> None:
-        self.path, self.tag, self.parent, self.first, self.last = [""], [""], [-1], [0], [0]
+        self.path, self.tag, self.parent, self.first, self.last = [0], [""], [-1], [0], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.above, self.kind, self.depth, self.digest = [-1], [""], [0], [b""]  # by path
         self.pieces: list[str | None] = []  # None: a new line
         self.owner: list[int] = []
         self.linked: list[bool] = []
         stack: list[tuple[str, int]] = []
+        opened: dict[str, int] = {}
         here, links, skip, at = 0, 0, 0, 0
-        for m in _TOKEN.finditer(text):
+        stop = text.rfind(">") + 1  # no tag ends after it
+        m = None
+        for m in _TOKEN.finditer(text, 0, stop):
             if m.start() > at and not skip:
                 self._add(text[at : m.start()], here, links > 0)
             at = m.end()
@@ -59,36 +71,58 @@ class Page:
                     found = _CLASS.search(m[4])
                     name = (found[1] or found[2] or found[3] or "").split() if found else []
                     kind = tag + ("." + _DIGITS.sub("#", name[0].lower()) if name else "")
-                    self.path.append(f"{self.path[here]}>{kind}" if here else kind)
+                    self.path.append(self._path(self.path[here], kind))
                     self.tag.append(tag)
                     self.parent.append(here)
                     self.first.append(len(self.pieces))
                     self.last.append(-1)
                     stack.append((tag, here))
+                    opened[tag] = opened.get(tag, 0) + 1
                     here = len(self.path) - 1
             elif tag == "title":
                 skip = max(0, skip - 1)
             elif tag == "a":
                 links = 0
-            elif tag in _BOX and any(t == tag for t, _ in stack):
+            elif tag in _BOX and opened.get(tag):
                 while True:
                     t, outer = stack.pop()
+                    opened[t] -= 1
                     self.last[here], here = len(self.pieces), outer
                     if t == tag:
                         break
                 links = 0
+        if m and at == stop and ((m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)) or (m[0].startswith("<!--") and not m[0].endswith("-->"))):
+            at = len(text)  # a script or comment that nothing ends
         if at < len(text) and not skip:
             self._add(text[at:], here, links > 0)
         end = len(self.pieces)
         self.last = [end if x < 0 else x for x in self.last]
         self.last[0] = end
 
+    def _path(self, above: int, kind: str) -> int:
+        found = self.paths.get((above, kind))
+        if found is None:
+            found = self.paths[above, kind] = len(self.kind)
+            self.above.append(above)
+            self.kind.append(kind)
+            self.depth.append(self.depth[above] + 1)
+            self.digest.append(xxhash.xxh3_128_digest(self.digest[above] + kind.encode("utf-8", "surrogatepass")))
+        return found
+
     def _add(self, piece: str | None, owner: int, linked: bool) -> None:
         self.pieces.append(piece)
         self.owner.append(owner)
         self.linked.append(linked)
 
-    def scores(self) -> dict[str, float]:
+    def name(self, path: int) -> str:
+        """Tags and classes of the path, from the outermost in."""
+        kinds = []
+        while path:
+            kinds.append(self.kind[path])
+            path = self.above[path]
+        return ">".join(reversed(kinds))
+
+    def scores(self) -> dict[int, float]:
         """Score of each path: own text outside links, less for much linked text, and a part of what lies inside."""
         plain, link = [0] * len(self.path), [0] * len(self.path)
         for p, o, a in zip(self.pieces, self.owner, self.linked):
@@ -103,31 +137,31 @@ class Page:
                 total[i] += plain[i] * plain[i] / (plain[i] + link[i])
             total[i] *= _FAVOUR.get(self.tag[i], 1.0)
             total[self.parent[i]] += 0.6 * total[i]
-        out: dict[str, float] = {}
+        out: dict[int, float] = {}
         for i in range(1, len(self.path)):
             if total[i] > 0:
                 out[self.path[i]] = out.get(self.path[i], 0.0) + total[i]
         return out
 
-    def best(self) -> str | None:
+    def best(self) -> int | None:
+        """The path of the highest score, the outermost in a tie, then that of the least digest."""
         s = self.scores()
-        return max(s, key=lambda p: (s[p], p)) if s else None
+        return min(s, key=lambda p: (-s[p], self.depth[p], self.digest[p])) if s else None
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """Lines of the containers at ``path`` (of the whole page without one), without what stands aside in them."""
         spans = [(self.first[i], self.last[i]) for i in range(1, len(self.path)) if self.path[i] == path] if path else [(0, len(self.pieces))]
+        shown = [True] * len(self.path)
+        for i in range(1, len(self.path)):
+            shown[i] = self.path[i] == path or (self.tag[i] not in _ASIDE and shown[self.parent[i]])
         lines: list[str] = []
         done = 0
         for low, high in spans:
             out: list[str] = []
             for k in range(max(low, done), high):
-                o = self.owner[k]
-                while o > 0 and self.path[o] != path and self.tag[o] not in _ASIDE:
-                    o = self.parent[o]
-                if o > 0 and self.path[o] != path:
-                    continue
-                p = self.pieces[k]
-                out.append("\n" if p is None else _html.unescape(p).replace("\n", " "))
+                if shown[self.owner[k]]:
+                    p = self.pieces[k]
+                    out.append("\n" if p is None else _html.unescape(p).replace("\n", " "))
             done = max(done, high)
             lines += [" ".join(x.split()) for x in "".join(out).split("\n")]
         return "\n".join(x for x in lines if x)
@@ -140,22 +174,27 @@ def host(url: str = "url") -> Column:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sums: dict[tuple[str, str], int] = {}
-        for h, x in zip(b.column("host").to_pylist(), b.column("html")):
-            if x := x.as_py():
-                s = Page(x).scores()
-                whole = max(s.values(), default=1.0)
-                for p in s:  # every container, so that one common to all pages counts however low it ranks
-                    sums[h, p] = sums.get((h, p), 0) + round(1000 * s[p] / whole)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["host", "path", "votes"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, 500):
+            b = whole.slice(k, 500)
+            sums: dict[tuple[str, bytes, int], int] = {}
+            for h, x in zip(b.column("host").to_pylist(), b.column("html")):
+                if x := x.as_py():
+                    page = Page(x)
+                    s = page.scores()
+                    most = max(s.values(), default=1.0)
+                    for p in s:  # every container, so that one common to all pages counts however low it ranks
+                        key = h, page.digest[p], page.depth[p]
+                        sums[key] = sums.get(key, 0) + round(1000 * s[p] / most)
+            columns = list(zip(*sums)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["host", "path", "depth", "votes"])
 
 
 def winners(named: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host, the first by name in a tie."""
-    votes = named.where("host is not null and html is not null").select("host", "html").mapInArrow(_vote, "host string, path string, votes long")
-    sums = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return sums.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
+    """(host, path): digest of the path with the most votes of each host; the outermost in a tie, then the least digest."""
+    votes = named.where("host is not null and html is not null").select("host", "html").mapInArrow(_vote, "host string, path binary, depth int, votes long")
+    sums = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.first("depth").alias("depth"))
+    return sums.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "depth", "path")).alias("path"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +207,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     path.append(None), text.append(None), how.append("none")
                     continue
                 page = Page(x)
-                agreed = win is not None and win in page.path
-                p = win if agreed else page.best()
-                path.append(p), text.append(page.text(p)), how.append("consensus" if agreed else "own" if p else "whole")
+                agreed = page.digest.index(win) if win in page.digest else None
+                p = agreed or page.best()
+                path.append(page.name(p) if p else None), text.append(page.text(p)), how.append("consensus" if agreed else "own" if p else "whole")
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(path, pa.string()), pa.array(how, pa.string()), pa.array(text, pa.string())], ["page_id", "host", "path", "method", "text"])
 
 
@@ -178,9 +217,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, method, text) of every row.
 
     method: "consensus" (the host's path), "own" (a page without that path or without host: its own best),
-    "whole" (no container at all), "none" (null html, null text). Ties go to the first path by name. Repeated
-    rows vote each and come out alike. Pages are read whole; broken and unclosed tags, scripts and comments
-    are passed over. Empty input gives no rows; further columns are ignored.
+    "whole" (no container at all), "none" (null html, null text). An empty page is "whole" with empty text. Ties go
+    to the outermost path, then to that of the least digest. Repeated rows vote each and come out alike. Pages
+    are read whole, in time linear in their length, however deep tags nest; broken and unclosed tags, scripts
+    and comments are passed over. Empty input gives no rows; further columns are ignored.
     """
     named = pages.select("page_id", host().alias("host"), "html")
     won = common.checked(common.stage(winners(named), "page-paths").select(F.col("host").alias("__h"), "path"), 128)
