@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gzip
 import html.parser
 import math
 import random
@@ -595,6 +596,44 @@ def test_warc_round_trip(spark):
     assert set(payload.values()) == {r[2].encode() for r in data if r[2] is not None}
 
 
+def test_warc_string_ids(spark):
+    table = spark.createDataFrame([(f"p{i}", f"http://a.org/{i}", f"<p>{i // 2}</p>") for i in range(12)] + [(None, None, "x")], "page_id string, url string, html string")
+    got = warc.deduplicate(table).collect()
+    captures = Counter(r["page_id"] for r in got)
+    assert captures == {k: 2 if warc._again(k) else 1 for k in captures} and len(captures) == 13 and 2 in captures.values()
+    assert sum(r["action"] == "original" for r in got) == 7
+
+
+def _foreign(kind, name, digest, block, extra=b"", uri=b"http://f.org/x"):
+    """A record as other writers make it: folded headers, odd case, no blanks."""
+    head = b"WARC/1.0\r\nwarc-type:" + kind + b"\r\nWARC-Record-ID: <" + name + b">\r\nWARC-Target-URI:\r\n " + uri + b"\r\nWARC-Date:2024-03-01T00:00:0" + name[-1:] + b"Z\r\n"
+    return head + (b"WARC-Payload-Digest: " + digest + b"\r\n" if digest else b"") + extra + b"Content-Type: application/http; msgtype=response\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_archives_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    big = bytes(random.Random(1).randrange(256) for _ in range(3_000_000))
+    one = [_foreign(b"warcinfo", b"i0", None, b"software: x"), _foreign(b"response", b"a1", None, http + b"same"), _foreign(b"response", b"a2", b"sha1:Q", http + big), _foreign(b"request", b"q3", None, b"GET / HTTP/1.1\r\n\r\n")]
+    two = [_foreign(b"response", b"b4", None, http + b"same"), _foreign(b"revisit", b"b5", b"sha1:Q", http), _foreign(b"revisit", b"b6", None, http), _foreign(b"revisit", b"b7", b"sha1:none", http)]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in one))
+    (tmp_path / "two.warc").write_bytes(b"".join(two))
+    (tmp_path / "cut.warc").write_bytes(_foreign(b"response", b"c8", None, http + b"cut off here")[:-12])
+    index = warc.index_archives(spark, [str(tmp_path / n) for n in ("one.warc.gz", "two.warc", "cut.warc")])
+    assert index.count() == 8
+    got = {r["page_id"]: r for r in warc.rewrite(warc.resolve(index), f"file://{tmp_path}/out").collect()}
+    assert {k.strip("<>"): r["action"] for k, r in got.items()} == {"i0": "other", "a1": "original", "a2": "original", "q3": "other", "b4": "revisit", "b5": "revisit", "b6": "unresolved", "b7": "unresolved"}
+    read = {}
+    for r in got.values():
+        with open(r["file"], "rb") as f:
+            f.seek(r["offset"])
+            read[r["page_id"].strip("<>")] = warc.parse(f.read(r["length"]))
+    assert read["a2"][1] == http + big and read["b4"][1] == http and read["q3"][1].startswith(b"GET") and read["i0"][1] == b"software: x"
+    assert read["b4"][0]["WARC-Refers-To"] == read["a1"][0]["WARC-Record-ID"] and read["b5"][0]["WARC-Refers-To"] == read["a2"][0]["WARC-Record-ID"]
+    assert read["a1"][0]["WARC-Target-URI"] == "http://f.org/x" and read["a1"][0]["WARC-Payload-Digest"].startswith("sha256:")
+    again = warc.index_archives(spark, sorted({r["file"] for r in got.values()}))
+    assert again.count() == 8 and warc.resolve(again).where("action = 'revisit'").count() == 2
+
+
 def test_unresolved_revisit(spark):
     index = spark.createDataFrame([(1, 0, "revisit", "<a>", "u", "d", "sha256:x", "f", 0, 1), (2, 0, "response", "<b>", "u", "d", None, "f", 1, 1)], warc._INDEX.format(kind="long"))
     assert sorted((r["page_id"], r["action"]) for r in warc.resolve(index).collect()) == [(1, "unresolved"), (2, "original")]
