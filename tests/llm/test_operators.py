@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vouchgraph.llm import bpe, chat, common, embed, groups, langid, lm, minhash, mixing, pages, quality, warc
 
@@ -298,6 +299,28 @@ def test_embedding_recall(spark):
     assert found.where("vec_id = 5 and keep").count() == 1
 
 
+def test_embedding_plan_and_sketches():
+    assert embed.plan(10**6)[0] > embed.plan(10**4)[0] and embed.plan(10**6, mean=0.5)[0] > embed.plan(10**6)[0]
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((4000, 64))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = embed.LEAST_COSINE * x + math.sqrt(1 - embed.LEAST_COSINE**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    signs = rng.standard_normal((64, embed.SKETCH))
+    apart = ((x @ signs > 0) != (y @ signs > 0)).sum(axis=1)
+    assert (apart <= embed._furthest(embed.LEAST_COSINE)).all()  # pairs at the least cosine always get their vectors
+
+
+def test_many_equal_vectors_and_texts(spark):
+    same = spark.range(50_000).selectExpr("id vec_id", "array(1.0D, 2.0D, 3.0D) embedding").unionByName(spark.range(50_000, 50_010).selectExpr("id vec_id", "array(cast(id - 50000 as double), -1.0D, 0.5D * (id % 3)) embedding"))
+    got = embed.near_duplicates(same).where("vec_id < 50000").agg(F.count("*"), F.count_if("keep"), F.min("group_size"), F.max("group_id")).first()
+    assert tuple(got)[:3] == (50_000, 1, 50_000) and got[3] == 0
+    texts = spark.range(50_000).selectExpr("id doc_id", "'one text that comes again and again' text").unionByName(spark.range(3).selectExpr("cast(null as long) doc_id", "'one text that comes again and again' text"))
+    got = minhash.near_duplicates(texts).agg(F.count("*"), F.count_if("keep"), F.min("group_size"), F.max("group_id")).first()
+    assert tuple(got) == (50_003, 1, 50_003, 0) and minhash.keep_one(texts).collect()[0]["doc_id"] == 0
+
+
 # --- BPE, LM, HTML, WARC ---
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the sorted rows of a partition, cut only where ``key`` (binary) changes."""
+    """Tables of the sorted rows of a partition, cut only where ``key`` changes."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
@@ -40,6 +40,11 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the least b of each a; a hub's edges are combined where they lie, and its join may be split."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node of its component.
 
@@ -50,10 +55,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-        large = both.select("a", "b", least.alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").distinct()
-        small = down.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        down = common.stage(large.where("a <> b").distinct(), "cc")
+        small = down.join(_least(down), "a")
         e = common.stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
