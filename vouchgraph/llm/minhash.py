@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, groups
@@ -84,7 +84,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, t in zip(sums, texts):
                 if s not in known:
                     known[s] = signature(t)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums, pa.binary()), pa.array([known[s] for s in sums], pa.binary())], ["doc_id", "digest", "sig"])
+            sigs = [known.pop(s, None) for s in sums]  # with a text's first row; its others have the digest alone
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sums, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "digest", "sig"])
 
 
 def _digest() -> Column:
@@ -119,11 +120,6 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = t.column("tree").to_numpy()
         same = (labels[1:] == labels[:-1]) & (trees[1:] == trees[:-1])[:, None]
         shared = np.concatenate([[0], np.cumprod(same, axis=1).sum(axis=1)])
-        ids = np.frombuffer(b"".join(nodes.to_pylist()), dtype=np.uint64).reshape(-1, 2)
-        twin = np.concatenate([[False], (shared[1:] == DEPTH) & (ids[1:] == ids[:-1]).all(axis=1)])
-        if twin.any():  # exact copies are one node
-            keep = np.flatnonzero(~twin)
-            nodes, shared = nodes.take(pa.array(keep)), shared[keep]
         starts = np.flatnonzero(shared < FIRST)
         ends = np.append(starts[1:], len(shared))
         out: list[np.ndarray] = []
@@ -143,34 +139,45 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """Staged (doc_id, digest, sig) of every row."""
+def signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged (doc_id, digest, n), the rows counted by id and text, and staged (digest, sig) of the distinct texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.stage(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, digest binary, sig binary"), "minhash")
+    rows = common.stage(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, digest binary, sig binary"), "minhash")
+    texts = rows.where("digest is not null").groupBy("digest").agg(F.first("sig", ignorenulls=True).alias("sig"))
+    return common.stage(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "minhash-rows"), common.stage(texts, "minhash-texts")
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """(a, b) digests of the distinct texts that are near copies of each other."""
+def copies(texts: DataFrame) -> DataFrame:
+    """(a, b) digests of the distinct ``texts`` (digest, sig) that are near copies of each other."""
     width = 4 * DEPTH
-    trees = rows.where("sig is not null").select("digest", F.posexplode(F.array(*[F.expr(f"substring(sig, {t * width + 1}, {width})") for t in range(TREES)])).alias("tree", "label"))
+    trees = texts.where("sig is not null").select("digest", F.posexplode(F.array(*[F.expr(f"substring(sig, {t * width + 1}, {width})") for t in range(TREES)])).alias("tree", "label"))
     region = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(label, 1, {4 * FIRST})"))
     ordered = trees.select("tree", "label", "digest", region.alias("region")).repartition("region").sortWithinPartitions("tree", "label", "digest")
     pairs = ordered.mapInArrow(_candidates, "a binary, b binary")
     pairs = common.stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
     ends = common.stage(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), "minhash-ends")
-    sigs = rows.join(common.checked(ends, 64), "digest", "left_semi").groupBy("digest").agg(F.first("sig").alias("sig"))
-    sigs = common.stage(sigs, "minhash-ends")
+    sigs = common.stage(texts.join(common.checked(ends, 64), "digest", "left_semi"), "minhash-ends")
     x = sigs.select(F.col("digest").alias("a"), F.col("sig").alias("x"))
     y = sigs.select(F.col("digest").alias("b"), F.col("sig").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree, "a binary, b binary")
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with root (digest that stands for the group) and place (1: this row stays)."""
-    found = common.stage(groups.components(copies(rows)), "minhash-groups")
-    named = rows.select("doc_id", "digest").join(common.checked(found, 96), F.col("digest") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
-    with_text = named.where("digest is not null").withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "digest")))
-    return with_text.unionByName(named.where("digest is null").withColumn("place", F.lit(1)))
+def grouped(docs: DataFrame) -> DataFrame:
+    """Staged (doc_id, digest, n, group_id, group_size, first) of the rows by id and text; first: one of these n stays.
+
+    Groups are put together by aggregations and joins by digest: a text that comes a million times is one row of
+    the forest, and no task holds its documents at once. Rows without text have a null digest and are left out.
+    """
+    rows, texts = signed(docs)
+    found = common.stage(groups.components(copies(texts)), "minhash-groups")
+    # of each text the number of rows and the first id, nulls last
+    own = rows.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first_id"))
+    own = common.stage(own.join(common.checked(found, 96), F.col("digest") == F.col("node"), "left").select("digest", "n", "first_id", F.coalesce("root", "digest").alias("root")), "minhash-texts-in-groups")
+    best = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "digest"))
+    whole = own.groupBy("root").agg(F.sum("n").alias("group_size"), best.alias("best"))
+    of_text = common.stage(own.select("digest", "root").join(whole, "root").select(F.col("digest").alias("d"), "group_size", F.col("best.first_id").alias("group_id"), F.col("best.digest").alias("of")), "minhash-whole-groups")
+    first = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("group_id"))
+    return common.stage(rows.join(of_text, F.col("digest") == F.col("d")).select("doc_id", "digest", "n", "group_id", "group_size", first.alias("first")), "minhash-places")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -181,10 +188,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies nothing (a group of its own, kept). A text without words has only exact copies. Texts are read
     whole. Empty input gives no rows; further columns are ignored.
     """
-    rows = grouped(signed(docs))
-    w = Window.partitionBy("root")
-    some = rows.where("digest is not null").select("doc_id", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), (F.col("place") == 1).alias("keep"))
-    none = rows.where("digest is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")
+    some = grouped(docs).select("doc_id", "group_id", "group_size", "first", each).select("doc_id", "group_id", "group_size", (F.col("first") & (F.col("i") == 1)).alias("keep"))
+    none = docs.where("text is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
     return some.unionByName(none)
 
 
@@ -192,14 +198,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps.
 
     Dropped rows are found by (doc_id, digest): the list is broadcast if its counted size allows it. Rows that
-    repeat a kept one exactly in both are reduced to one.
+    repeat a kept one exactly in both are reduced to one. Null texts all stay; empty texts are copies of each other.
+    Ties, repeated rows, very long texts, an empty table and extra columns are as :func:`near_duplicates` has them.
     """
-    rows = common.stage(grouped(signed(docs)), "minhash-places")
-    keys = rows.where("digest is not null").groupBy("doc_id", "digest").agg(F.min("place").alias("place"), F.count("*").alias("n"))
-    keys = common.stage(keys.where("place > 1 or n > 1").select(F.col("doc_id").alias("__m_id"), F.col("digest").alias("__m_digest"), "place"), "minhash-drop")
+    keys = common.stage(grouped(docs).where("not first or n > 1").select(F.col("doc_id").alias("__m_id"), F.col("digest").alias("__m_digest"), "first"), "minhash-drop")
     on = docs["doc_id"].eqNullSafe(F.col("__m_id")) & (_digest() == F.col("__m_digest"))
-    kept = docs.join(common.checked(keys.drop("place"), 96), on, "left_anti")
-    again = keys.where("place = 1").drop("place")
+    kept = docs.join(common.checked(keys.drop("first"), 96), on, "left_anti")
+    again = keys.where("first").drop("first")
     if again.isEmpty():
         return kept
     once = docs.join(common.checked(again, 96), on, "left_semi").dropDuplicates(["doc_id", "text"])
