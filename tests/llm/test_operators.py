@@ -349,14 +349,28 @@ def test_bpe_counts_of_huge_words(monkeypatch):
     monkeypatch.setattr(bpe, "encoder", lambda pieces: Huge())
     monkeypatch.setattr(np, "fromiter", lambda it, *a: np.zeros(1, np.int64) if not isinstance(it, map) else fromiter(it, *a))  # the ids aren't needed
     words = bpe._pack(bpe.pa.array(["a", "huge"], bpe.pa.large_string()))
-    t = bpe.pa.table({"block": [0], "part": [0], "payload": bpe.pa.array([words], bpe.pa.binary())})
-    reply = bpe._encode(type("B", (), {"value": None}))(t).column("reply")[0].as_py()
+    t = bpe.pa.record_batch({"block": [0], "part": [0], "payload": bpe.pa.array([words], bpe.pa.binary())})
+    reply = next(bpe._encode(type("B", (), {"value": None}))(iter([t]))).column("reply")[0].as_py()
     assert bpe._from_planes(bpe._unpack(bpe._split(reply)[0])).tolist() == [1, (1 << 24) + 3]
 
 
 def test_bpe_bad_ids_decode(spark):
     bad = spark.createDataFrame([(1, [10**6]), (2, None), (3, [])], "doc_id long, token_ids array<int>")
     assert [r["decoded"] for r in bpe.decode(bad).orderBy("doc_id").collect()] == ["", None, ""]
+    assert [r["decoded"] for r in bpe.decode_by_join(bad).orderBy("doc_id").collect()] == ["", None, ""]
+
+
+def test_bpe_keeps_columns_and_leaves_no_table(spark, monkeypatch):
+    docs = corpus(spark, 20).withColumn("n_words", F.lit("own")).withColumn("a.b", F.struct(F.lit(1).alias("x"), F.lit(None).cast("string").alias("y")))
+    monkeypatch.setattr(bpe, "_MEMO_WORDS", 5)  # the memo starts anew all the time
+    got = bpe.encode(docs, keep=tuple(c for c in docs.columns if c != "text"))
+    assert got.columns == [c for c in docs.columns if c not in ("text", "n_words")] + ["n_words", "n_tokens", "token_ids"]
+    assert rows(got.select("doc_id", "source", "`a.b`")) == rows(docs.select("doc_id", "source", "`a.b`"))
+    once = common.stage(got, "test-tokens")
+    assert rows(bpe.decode(once)) == rows(bpe.decode_by_join(once).select(*[f"`{c}`" for c in once.columns], "decoded"))
+    assert any(t.name.startswith("bpe_blocks") for t in spark.catalog.listTables())
+    common.drop_staged()
+    assert not any(t.name.startswith("bpe_blocks") for t in spark.catalog.listTables())
 
 
 def _slow_lm(table, text: bytes) -> float:

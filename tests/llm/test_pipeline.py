@@ -87,3 +87,32 @@ def test_bpe(stages):
     e = bpe.encoder(bpe.ranks())
     want = {r["doc_id"]: (e.encode_ordinary(r["text"]), r["text"]) for r in before.collect()}
     assert {r["doc_id"]: (r["token_ids"], r["decoded"]) for r in after.collect()} == want
+
+
+def _corner_corpus(spark):
+    """sf0.001's documents with nulls, empty and very long texts, ties, repeated rows and columns of clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.orderBy("doc_id").limit(3)
+    odd = [(None, docs.first()["text"], "en", "web"), (90_001, None, "en", None), (90_002, "", None, "web"), (90_003, " \n\t", "de", None), (90_004, "word " * 60_000, "en", "web"), (90_005, "y" * 250_000, None, "web"), (None, None, None, None)]
+    more = spark.createDataFrame([(*r, 1) for r in odd], "doc_id long, text string, lang string, source string, n_chars long").to(docs.schema)
+    both = docs.unionByName(first).unionByName(first).unionByName(more).unionByName(more)
+    extra = {"digest": "1", "keep": "'k'", "bin": "cast(null as string)", "tokens": "2", "node": "'n'", "words": "array(1)", "__q_id": "3", "block": "4", "decoded": "'own'", "h": "5", "k": "'6'"}
+    return both.selectExpr("*", *[f"{v} as `{c}`" for c, v in extra.items()])
+
+
+def test_run_on_corner_cases(spark, tmp_path):
+    docs = _corner_corpus(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for folder in (tmp_path, tmp_path / "none"):
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(folder / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [c for c in docs.columns if c not in ("text", "decoded")] + ["n_words", "n_tokens", "token_ids", "decoded"]
+    e, texts = bpe.encoder(bpe.ranks()), {(r["doc_id"], r["text"]) for r in docs.collect()}
+    got = out.collect()
+    assert len(got) > 50 and all((r["doc_id"], r["decoded"]) in texts for r in got)
+    assert all(e.encode_ordinary(r["decoded"]) == r["token_ids"] and r["n_tokens"] == len(r["token_ids"]) for r in got)
+    assert all(r["node"] == "n" and r["words"] == [1] and r["block"] == 4 and r["k"] == "6" for r in got)
+    assert max(Counter(r["decoded"] for r in got).values()) == 1  # copies and repeated rows are one
+    none = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert none.columns == out.columns and none.count() == 0

@@ -22,6 +22,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import common
 
@@ -30,7 +31,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a block holds at least, unless its partition ends; a document is never cut.
 BLOCK_WORDS = 3_000_000
+#: Parts that a block's distinct words fall into by hash: with more, a block would send a few words a row.
+MOST_PARTS = 1024
+#: Words of a part whose ids are remembered at once; beyond, the memo starts anew and a word may be encoded again.
+_MEMO_WORDS = 2_000_000
 _ZSTD = "zstd"
+_OWN = ("n_words", "n_tokens", "token_ids", "decoded")
 
 
 @lru_cache(maxsize=4)
@@ -113,7 +119,7 @@ def _blocks(parts: int):
         common.worker_state("bpe", dict)
         for b in (x.slice(k, 250) for x in batches for k in range(0, x.num_rows, 250)):
             lists = b.column("words")
-            ids.append(b.column("doc_id"))
+            ids.append(b.column("kept"))
             sizes.append(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy(zero_copy_only=False), dtype=np.int32))
             words.append(lists.flatten())
             held += len(words[-1])
@@ -127,21 +133,27 @@ def _blocks(parts: int):
 
 
 def _encode(pieces):
-    """Words of one part, from all blocks: each distinct one is encoded once, each block gets its own back."""
-
-    def run(t: pa.Table) -> pa.Table:
-        encode, known, replies = encoder(pieces.value).encode_ordinary, {}, []
-        for payload in t.column("payload").to_pylist():
-            ids = []
-            for w in _unpack(payload)[0].to_pylist():
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = encode(w)
-                ids.append(got)
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-            replies.append(_join(_pack(*_planes(n)), _pack(*_planes(flat)[:3])))
-        return pa.table({"block": t.column("block"), "part": t.column("part"), "reply": pa.array(replies, pa.binary())})
+    """Words of the parts, block by block: each distinct one of a part is encoded once, each block gets its own back.
+
+    Rows come sorted by part and go through one by one: what is held is the words of one part, not its blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known, now = encoder(pieces.value).encode_ordinary, {}, None
+        for b in batches:
+            for k, part in enumerate(b.column("part").to_pylist()):
+                if part != now or len(known) > _MEMO_WORDS:
+                    known, now = {}, part
+                ids = []
+                for w in _unpack(b.column("payload")[k].as_py())[0].to_pylist():
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = encode(w)
+                    ids.append(got)
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+                reply = _join(_pack(*_planes(n)), _pack(*_planes(flat)[:3]))
+                yield pa.RecordBatch.from_arrays([b.column("block").slice(k, 1), b.column("part").slice(k, 1), pa.array([reply], pa.binary())], ["block", "part", "reply"])
 
     return run
 
@@ -177,30 +189,39 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 missing = sizes[k:top] < 0
                 offsets = pa.array(bounds.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(bounds.astype(np.int32))
                 tokens = pa.ListArray.from_arrays(offsets, pa.array(flat[at].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(k, top - k), pa.array(words[k:top]), pa.array(np.diff(bounds)), tokens], ["doc_id", "n_words", "n_tokens", "token_ids"])
+                kept = doc_ids.slice(k, top - k)
+                names = [f.name for f in kept.type]
+                yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(words[k:top]), pa.array(np.diff(bounds)), tokens], [*names, *_OWN[:3]])
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, n_words, n_tokens, token_ids) of every row.
 
     The ids are those that the tokenizer gives for the whole text. A null text has null token_ids and counts
     of 0, an empty one an empty array. Repeated rows and ids come out as often as they come in; a document of
-    any length stays whole. Empty input gives no rows; further columns are ignored.
+    any length stays whole. Empty input gives no rows. Further columns are ignored, but for those named in
+    ``keep``, which come out as they are; one named like a result column gives way to it.
     """
     spark = docs.sparkSession
     pieces = spark.sparkContext.broadcast(ranks(vocabulary))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"))
+    kept = docs.select(*[f"`{c}`" for c in keep if c not in _OWN])
+    words = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("kept"), F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    made = words.mapInArrow(_blocks(max(64, 4 * buckets)), "block long, part int, payload binary")
+    made = words.mapInArrow(_blocks(min(MOST_PARTS, max(64, 4 * buckets))), "block long, part int, payload binary")
     with common.arrow_rows(spark, 1000):
-        made.write.bucketBy(buckets, "block").option("path", common.new_path(spark, "bpe")).option("compression", "uncompressed").saveAsTable(name)
+        made.write.bucketBy(buckets, "block").option("path", common.new_path(spark, "bpe", name)).option("compression", "uncompressed").saveAsTable(name)
     blocks = spark.table(name)
-    replies = blocks.where("part >= 0").groupBy("part").applyInArrow(_encode(pieces), "block long, part int, reply binary")
+    sent = blocks.where("part >= 0").repartition("part").sortWithinPartitions("part")
+    replies = sent.mapInArrow(_encode(pieces), "block long, part int, reply binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
     joined = blocks.where("part < 0").select("block", "payload").join(replies, "block", "left")
-    return joined.mapInArrow(_finish, f"doc_id {kind}, n_words long, n_tokens long, token_ids array<int>")
+    out = StructType([*kept.schema.fields, *_counts()])
+    return joined.mapInArrow(_finish, out)
+
+
+def _counts() -> list[StructField]:
+    return [StructField("n_words", LongType()), StructField("n_tokens", LongType()), StructField("token_ids", ArrayType(IntegerType()))]
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -215,5 +236,19 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return tokens.withColumn("decoded", F.decode(F.unhex(F.array_join(pieces, "")), "UTF-8"))
 
 
+def decode_by_join(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """:func:`decode` by a join of every single token: ids are exploded, joined to a table (id, piece) and collected again.
+
+    The same result in all cases, at a row a token: the README says what that costs.
+    """
+    table = tokens.sparkSession.createDataFrame([(i, p) for i, p in enumerate(ranks(vocabulary))], "id int, piece binary")
+    rows = common.stage(tokens.drop("decoded").withColumn("__row", F.monotonically_increasing_id()), "bpe-tokens")
+    each = rows.select("__row", F.posexplode("token_ids").alias("__at", "id")).join(common.checked(table, 32), "id")
+    pieces = each.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__at", "piece"))).alias("p"))
+    text = F.decode(F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), "")), "UTF-8")
+    both = rows.join(pieces.select("__row", text.alias("decoded")), "__row", "left")
+    return both.withColumn("decoded", F.when(F.col("token_ids").isNotNull(), F.coalesce("decoded", F.lit("")))).drop("__row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encode(common.table(spark, sf_dir, "documents")))

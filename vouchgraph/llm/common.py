@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,25 +20,27 @@ BROADCAST_BYTES = 32 << 20
 
 _worker: dict[str, Any] = {}
 _own_dir: dict[str, str] = {}
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``, or an own one where it is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="vouchgraph-")
         spark.sparkContext.setCheckpointDir(_own_dir[app])
     return _own_dir[app]
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses; it is removed when Python ends."""
+def new_path(spark: SparkSession, label: str, table: str | None = None) -> str:
+    """A path in the shared folder that nothing else uses; it is removed when Python ends, and the catalog's ``table`` there with it."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    _staged.append((spark, path, table))
     return path
 
 
@@ -51,8 +54,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def drop_staged(spark: SparkSession | None = None) -> None:
     """Delete the staged tables; results that were read from them can't be computed afterwards."""
     while _staged:
-        own, path = _staged.pop()
+        own, path, table = _staged.pop()
         try:
+            if table:
+                own.sql(f"DROP TABLE IF EXISTS {table}")
             jvm = own.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -95,10 +100,19 @@ def worker_state(name: str, make: Callable[[], Any]) -> Any:
         _worker.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        _trim()
         _worker[name] = make()
     return _worker[name]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def binary_rows(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of the rows of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
