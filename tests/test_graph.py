@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -365,3 +367,13 @@ def test_entry_without_corpus(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_entry_without_what_the_corpus_needs(monkeypatch):
+    import __spark_entry__ as e
+
+    graphs = set(e.graphs.QUERIES)
+    for name in [m for m in sys.modules if m.startswith("vouchgraph.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    assert set(e.queries()) == graphs and set(e.oracle_sql()) <= graphs
