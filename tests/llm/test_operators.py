@@ -375,29 +375,35 @@ def test_bpe_keeps_columns_and_leaves_no_table(spark, monkeypatch):
 
 def _slow_lm(table, text: bytes) -> float:
     """Context mixing of one text, one bit at a time, in float32 like the fast one."""
-    f, n, total = np.float32, len(lm.ORDERS), 0.0
-    for start in range(0, len(text), lm.BLOCK):
-        w = np.tile(np.array(lm._START, f), (8, 1))
-        own = np.zeros(256, f)
-        middle = (np.arange(lm._BUCKETS) + 0.5) / lm._BUCKETS * 16 - 8
-        refine = (1 / (1 + np.exp(-middle))).astype(f)
-        for i in range(start, min(start + lm.BLOCK, len(text))):
-            ctx = int.from_bytes((b"\0\0\0\0" + text)[i : i + 4], "big")
-            base = [int(lm._base(o, np.array([ctx], np.uint32))[0]) for o in lm.ORDERS]
-            node = 1
-            for j in range(8):
-                bit = (text[i] >> (7 - j)) & 1
-                z = np.array([table[((b + node * int(lm._SPREAD)) & ((1 << lm.SLOT_BITS[k]) - 1)) + lm._OFFSETS[k]] / lm._SCALE for k, b in enumerate(base)] + [own[node]], f)
-                x = float(w[j] @ z)
-                p, p0 = 1 / (1 + math.exp(-x)), 1 / (1 + math.exp(-float(own[node])))
-                w[j] += z * f((bit - p) * lm._RATES[0, 0])
-                own[node] += f((bit - p0) * lm._RATES[1, 0])
-                cell = int(min(max(x * lm._BUCKETS / 16 + lm._BUCKETS / 2, 0), lm._BUCKETS - 0.01))
-                q = float(refine[cell])
-                refine[cell] += f((bit - q) * lm._MAP_RATE)
-                p = (p + q) / 2
-                total -= math.log2(max(p if bit else 1 - p, 1 / 4096))
-                node = node * 2 + bit
+    f, total, most = np.float32, 0.0, (1 << 32) - 1
+    w = np.tile(np.array(lm._START, f), (8, 1))
+    own = [np.zeros(16 << lm.ONLINE_BITS, f) for _ in lm.ONLINE]
+    middle = (np.arange(lm._BUCKETS) + 0.5) / lm._BUCKETS * 16 - 8
+    refine = (1 / (1 + np.exp(-middle))).astype(f)
+    for i in range(len(text)):
+        before = (b"\0\0\0\0" + text)[i : i + 4]
+        base = [int(lm._base(o, np.array([int.from_bytes(before, "big")], np.uint32))[0]) for o in lm.ORDERS]
+        hashes = []
+        for o in lm.ONLINE:
+            h = (int.from_bytes(before[-o:], "big") + (o << 24)) * 0x9E3779B1 & most
+            hashes.append((h, (h ^ ((text[i] >> 4) + 1) * 0x85EBCA6B & most) * 0xC2B2AE35 & most))
+        node = 1
+        for j in range(8):
+            bit = (text[i] >> (7 - j)) & 1
+            part = node if j < 4 else node & ((1 << (j - 4)) - 1) | (1 << (j - 4))
+            slot = [((pair[j >= 4] >> (33 - lm.ONLINE_BITS)) * 2 + (j >= 4)) * 16 + part for pair in hashes]
+            z = np.array([table[((b + node * int(lm._SPREAD)) & ((1 << lm.SLOT_BITS[k]) - 1)) + lm._OFFSETS[k]] / lm._SCALE for k, b in enumerate(base)] + [own[k][x] for k, x in enumerate(slot)], f)
+            x = float(w[j] @ z)
+            p = 1 / (1 + math.exp(-x))
+            w[j] += z * f((bit - p) * lm._RATES[0, 0])
+            for k, at in enumerate(slot):
+                own[k][at] += f((bit - 1 / (1 + math.exp(-float(own[k][at])))) * lm._RATES[1, 0])
+            cell = int(min(max(x * lm._BUCKETS / 16 + lm._BUCKETS / 2, 0), lm._BUCKETS - 0.01))
+            q = float(refine[cell])
+            refine[cell] += f((bit - q) * lm._MAP_RATE)
+            p = (p + q) / 2
+            total -= math.log2(max(p if bit else 1 - p, 1 / 4096))
+            node = node * 2 + bit
     return total
 
 
@@ -442,16 +448,23 @@ def test_lm_contexts_never_share_counts(spark, monkeypatch):
     assert lm.Coder(table).bits(texts) == pytest.approx([whole[i] for i in range(len(texts))], abs=0.01)
 
 
-def test_lm_codes_long_texts_whole(spark, monkeypatch):
+def test_lm_codes_long_texts_whole(spark):
     rng = random.Random(9)
     phrase = bytes(rng.randrange(33, 127) for _ in range(30))
     texts = [phrase * 100, b"the of and stone " * 3, ("haus fluss stein " * 250).encode(), b"z" * 5000]
     table = lm.train(corpus(spark, 30))
     fast = lm.Coder(table).bits(texts)
-    monkeypatch.setattr(lm, "BLOCK", 1 << 40)  # for the slow twin alone: what was coded above is coded
     assert fast == pytest.approx([_slow_lm(table, t) for t in texts], rel=2e-3, abs=0.2)
 
 
+def test_lm_learns_within_a_text(spark):
+    rng = random.Random(13)
+    table = lm.train(corpus(spark, 30))
+    noise = [bytes(rng.randrange(200, 256) for _ in range(40)) for _ in range(40)]  # nothing the corpus has
+    again, fresh = lm.Coder(table).bits([noise[0] * 40, b"".join(noise)])
+    assert again < 0.6 * fresh  # only predictors that learn online can tell
+
+
 def test_lm_groups_texts_of_similar_length(spark):
     docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([0, 5, 1000, 1024, 2000, 2048, 70_000])] + [(7, None)], "doc_id long, text string")
     by = {r["doc_id"]: r["grp"] >> 40 for r in lm._grouped(docs).collect()}

@@ -1,8 +1,9 @@
 """Language-model scoring by online logistic context mixing.
 
-Bit predictors of orders 2 to 4 look up what the whole corpus has after a context: byte 3-, 4- and 5-grams are
-counted over all documents. A predictor of order 0 learns within the text. Their logits are mixed with weights
-gated by the bit's place in its byte; the weights learn after every bit, and an adaptive map refines the mixed
+Bit predictors of the orders ONLINE learn within the text, bit by bit: their logits lie in slots that the last
+bytes and the bits so far are hashed to. Those of the orders ORDERS start from the whole corpus: byte grams are
+counted over all documents, and each gives what comes after its context. All logits are mixed with weights gated
+by the bit's place in its byte; the weights learn after every bit, and an adaptive map refines the mixed
 probability. The cost of all bits over the bytes is the score.
 
 The counts are a partitioned table that grows with the corpus, keyed by the exact context, so no two contexts
@@ -25,20 +26,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDERS = (2, 3, 4)
+ORDERS = (3, 4)
 #: Bits of a bit context's exact key: the order's bytes, then eight for the node. Its slot is this key.
-SLOT_BITS = (24, 32, 40)
-#: Bytes after which online state would start anew: more than any text has.
-BLOCK = 1 << 31
+SLOT_BITS = (32, 40)
+#: Orders of the predictors that learn within the text.
+ONLINE = (1, 2)
+#: Bits of the number of groups, of 16 slots each, that such a predictor has; contexts that meet there share them.
+ONLINE_BITS = 8
 #: Texts coded in step; only speed depends on it.
-LANES = 4096
+LANES = 2048
 #: Bytes of text whose documents look up their grams and are coded together.
 GROUP_BYTES = 16 << 20
 #: Texts below this power of two of bytes are grouped as if of one length, longer ones by the power of two below.
 SHORT_BITS = 10
-_START = (0.25, 0.35, 0.4, 0.35)
+#: First weights: of the corpus's predictors, then of those that learn.
+_START = (0.35, 0.4, 0.25, 0.25)
 _BUCKETS = 24
-#: Learning rates of the weights, of the order-0 logits, and of the refining map.
+#: Learning rates of the weights, of the online logits, and of the refining map.
 _RATES, _MAP_RATE = np.array([[0.02], [0.5]], np.float32), np.float32(0.02)
 _SCALE = 15.0
 _UNIT, _ONE, _HALF = np.float32(1 / _SCALE), np.float32(1), np.float32(0.5)
@@ -59,6 +63,24 @@ def _gram(order: int, gram: np.ndarray) -> np.ndarray:
     return gram & ((1 << (8 * order + 8)) - 1)
 
 
+def groups_of(context: np.ndarray, byte: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of slots of an online predictor for the first and the last four bits of ``byte`` after the ``context``.
+
+    The context (its last bytes, as a 32-bit integer) is hashed to a group for the first four bits, with these four
+    to another for the rest; within a group the bits so far tell the slot (:data:`_NODES`). Groups of first bits
+    are even, the others odd, so the bits of one byte never share a slot.
+    """
+    h = (context + np.uint32(order << 24)) * np.uint32(0x9E3779B1)
+    both = (h ^ ((byte >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+    shift, two = np.uint32(33 - ONLINE_BITS), np.uint32(2)
+    return ((h >> shift) * two).astype(np.uint16), ((both >> shift) * two + np.uint32(1)).astype(np.uint16)
+
+
+#: By bit and byte: the slot within its group, and the bit itself.
+_NODES = np.array([[((x >> 4 if j < 4 else x & 15) | 16) >> (4 - j % 4) for x in range(256)] for j in range(8)], dtype=np.int64)
+_BITS = np.array([[x >> (7 - j) & 1 for x in range(256)] for j in range(8)], dtype=np.float32)
+
+
 def _lay_out(texts: list[bytes]) -> np.ndarray:
     """All texts in one array, four zero bytes before each."""
     return np.frombuffer(b"".join(x for t in texts for x in (b"\0\0\0\0", t)) + b"\0\0\0\0", dtype=np.uint8)
@@ -126,7 +148,7 @@ def _logits(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _group_grams(docs: pa.Table) -> pa.Table:
-    """(grp, key, n) of the distinct 3-, 4- and 5-grams of one group of documents; the key's top bits are the order."""
+    """(grp, key, n) of the distinct 4- and 5-grams of one group of documents; the key's top bits are the order."""
     found = pa.Table.from_batches(_count(iter(docs.to_batches())), pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
     gram, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
     keys, counts = [], []
@@ -298,61 +320,72 @@ class Coder:
         if not sizes.any():
             return np.zeros(len(texts))
         logits, which = self._placed(a, starts)
+        slots, context = [], np.zeros(len(a), np.uint32)
+        for k in range(1, max(ONLINE) + 1):
+            context[k:] |= a[:-k].astype(np.uint32) << np.uint32(8 * k - 8)
+            if k in ONLINE:
+                slots.append(groups_of(context, a, k))
         cost = np.zeros(len(texts))
         order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
         for k in range(0, len(order), LANES):
             part = order[k : k + LANES]
-            cost[part] = self._lanes(a, logits, which, starts[part], sizes[part])
+            cost[part] = self._lanes(a, logits, which, slots, starts[part], sizes[part])
         return cost
 
-    def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, slots: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Bits of texts of falling length: in each step one byte of every text that has it.
 
-        The eight bits of a byte have weights and order-0 nodes of their own, so they are mixed at once; only
+        The eight bits of a byte have weights and online slots of their own, so they are mixed at once; only
         the refining map goes bit by bit.
         """
-        lanes, k = len(first), len(ORDERS)
+        lanes, k, online = len(first), len(ORDERS), len(ONLINE)
         f = np.float32
-        weights = np.empty((k + 1, 8, lanes), f)
+        weights = np.empty((k + online, 8, lanes), f)
         weights[:] = np.array(_START, f)[:, None, None]
-        own = np.zeros(lanes * 256, f)
+        size = 16 << ONLINE_BITS
+        own = np.zeros(online * lanes * size, f)  # by predictor, text, slot: a byte of a text touches two cache lines
         middle = (np.arange(_BUCKETS, dtype=np.float64) + 0.5) / _BUCKETS * 16 - 8
         refine = np.repeat((1 / (1 + np.exp(-middle))).astype(f), lanes)  # by bucket, then text: most lie in few buckets
         row = np.arange(lanes)
-        shifts = np.arange(8, 0, -1, dtype=np.int64)[:, None]
         cost = np.zeros(lanes)
         active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), side="left")
         m = -1
         for s, now in enumerate(active.tolist()):
             if now != m:  # texts have ended: narrower buffers
                 m = now
-                z, zw = np.empty((k + 1, 8, m), f), np.empty((k + 1, 8, m), f)
-                xs, err, x, q = np.empty((2, 8, m), f), np.empty((2, 8, m), f), np.empty((8, m), f), np.empty((8, m), f)
-                mine, cell, step, chance = np.empty((8, m), np.int64), np.empty((8, m), np.int64), np.empty(m, f), np.empty(m, f)
+                z, zw = np.empty((k + online, 8, m), f), np.empty((k + online, 8, m), f)
+                xs, err = np.empty((1 + online, 8, m), f), np.empty((1 + online, 8, m), f)
+                x, q = np.empty((8, m), f), np.empty((8, m), f)
+                mine, cell, step, chance = np.empty((online, 8, m), np.int64), np.empty((8, m), np.int64), np.empty(m, f), np.empty(m, f)
                 rows, w = row[:m], weights[:, :, :m]
+                place = (np.arange(online)[:, None] * lanes + rows) * size
+                ones, nodes, base = np.empty((8, m), f), np.empty((8, m), np.int64), np.empty(m, np.int64)
             at = first[:m] + s
             byte = a[at]
-            bits = np.unpackbits(byte[None, :], axis=0)
-            ones = bits.astype(f)
+            np.take(_BITS, byte, axis=1, out=ones, mode="clip")
             np.multiply(logits[which[at]].T.reshape(k, 8, m), _UNIT, out=z[:k])
-            np.right_shift(byte.astype(np.int64) | 256, shifts, out=mine)
-            mine *= lanes
-            mine += rows
-            np.take(own, mine, out=z[k], mode="clip")
+            np.take(_NODES, byte, axis=1, out=nodes, mode="clip")
+            for i, pair in enumerate(slots):
+                for half, group in zip((slice(0, 4), slice(4, 8)), pair):
+                    np.multiply(group[at], 16, out=base, casting="unsafe")
+                    base += place[i]
+                    np.add(nodes[half], base, out=mine[i, half])
+            np.take(own, mine, out=z[k:], mode="clip")
             np.multiply(w, z, out=zw)
             np.add.reduce(zw, axis=0, out=xs[0])
-            xs[1] = z[k]
+            xs[1:] = z[k:]
             np.multiply(xs[0], _PER, out=x)
             np.negative(xs, out=xs)
             np.exp(xs, out=xs)
             xs += _ONE
             np.reciprocal(xs, out=xs)  # probability of a one: mixed, and by what the text itself taught
             np.subtract(ones, xs, out=err)
-            err *= _RATES[:, :, None]
+            err[0] *= _RATES[0, 0]
+            err[1:] *= _RATES[1, 0]
             np.multiply(z, err[0], out=zw)
             w += zw
-            np.add(z[k], err[1], out=z[k])
-            own[mine] = z[k]
+            np.add(z[k:], err[1:], out=z[k:])
+            own[mine] = z[k:]
             x += _MIDDLE
             np.maximum(x, _LOW, out=x)
             np.minimum(x, _HIGH, out=x)
@@ -390,7 +423,8 @@ def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) of every row.
 
     A null or empty text has no bytes, no bits and null bits_per_byte. Repeated rows get equal results, each
-    its own row; texts are coded whole. Empty input gives no rows; further columns are ignored.
+    its own row, and count as often as they come; texts are coded whole. Rows of equal scores are in no order. Empty
+    input gives no rows; further columns are ignored.
     """
     groups = _grouped(docs)
     counted = groups.where("text is not null").groupBy("grp").applyInArrow(_group_grams, "grp long, key long, n long")
