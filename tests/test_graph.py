@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vouchgraph.functions import kernel, rng
 from vouchgraph.operators import contexts, decay, neighbors, paths, polls, registry, scores, walks
 from vouchgraph.plans.engine import TrustEngine
+from vouchgraph.plans.service import TrustService
 from vouchgraph.settings import Settings
 from vouchgraph.sources import oplog
 
@@ -377,3 +378,41 @@ def test_entry_without_what_the_corpus_needs(monkeypatch):
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "tiktoken", None)
     assert set(e.queries()) == graphs and set(e.oracle_sql()) <= graphs
+
+
+def test_service_and_sql(spark):
+    s = TrustService(spark, Settings(num_walks=300, num_score_quantiles=10))
+    for a, b, w in [("U1", "U2", 3), ("U1", "U3", 1), ("U2", "U1", 2), ("U2", "U3", 4), ("U3", "U1", 3), ("B1", "U2", 1), ("U1", "B1", 2), ("U3", "U2", -2)]:
+        s.put_edge(a, b, w)
+    with pytest.raises(ValueError, match="weight should not be null"):
+        s.put_edge("U1", "U2", None)
+    s.register_functions()
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.drop("position").collect())
+    for sql, want in [("trust_scores('U1')", s.scores("U1")), ("trust_scores('U1', kind => 'U', gte => 0.1, index => 1, count => 1)", s.scores("U1", kind="U", gte=0.1, index=1, count=1)),
+                      ("trust_scores('U2', hide_personal => true)", s.scores("U2", hide_personal=True)), ("trust_node_score('U1', 'B1')", s.node_score("U1", "B1")), ("trust_mutual_scores('U1')", s.mutual_scores("U1")),
+                      ("trust_neighbors('U1', 'U2')", s.neighbors("U1", "U2")), ("trust_neighbors('U1', 'U2', 1)", s.neighbors("U1", "U2", 1)), ("trust_connected('U1')", s.connected("U1")), ("trust_edgelist()", s.edgelist()), ("trust_nodelist()", s.nodelist())]:
+        assert key(spark.sql(f"SELECT * FROM {sql}")) == key(want), sql
+    first = {r["dst"] for r in s.fetch_new_edges("U1", "U").collect()}
+    assert "U2" in first and s.fetch_new_edges("U1", "U").count() == 0 and s.fetch_new_edges("U1", "B").count() == 1
+    kept = s.get_new_edges_filter("U1")
+    s.put_edge("U1", "U7", 9)
+    assert {r["dst"] for r in s.fetch_new_edges("U1").collect()} == {"U7"}
+    s.set_new_edges_filter("U1", kept)
+    assert {r["dst"] for r in s.fetch_new_edges("U1").collect()} == {"U7"}
+    s.bulk_load_edges(["U1", "U1"], ["U3", "U4"], [1.0, 1.0], [0, 0], ["", ""])
+    assert {(r["src"], r["dst"]) for r in s.edgelist().collect()} == {("U1", "U3"), ("U1", "U4")}
+    top = {r["name"]: r["score"] for r in s.recompute_zero_opinions(top=2).collect()}
+    assert set(top) == {"U3", "U4"} and {round(r["z"], 9) for r in s.sync().graph_of().zero.collect()} == {round(x, 9) for x in top.values()}
+    s.reset()
+    assert s.nodelist().count() == 0
+
+
+def test_poll_view(spark):
+    votes = spark.createDataFrame([(1, "U1", "a", 1.0), (2, "U2", "b", 1.0), (3, "U3", "a", 1.0), (4, "U9", "b", 1.0)], "op_idx long, user string, option string, amount double")
+    options = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "p")], "option string, poll string")
+    own = spark.createDataFrame([("U1", "U1", 0.6), ("U1", "U2", 0.3), ("U1", "U3", 0.1), ("U1", "U4", 0.1), ("U8", "U8", 1.0)], "ego string, user string, score double")
+    bounds = spark.createDataFrame([("U1", [0.1, 0.2])], "ego string, bounds array<double>")
+    totals = spark.createDataFrame([("U1", 1.0), ("U2", 1.0), ("U3", 2.0), ("U9", 9.0)], "user string, score double")
+    got = {(r["ego"], r["option"]): (round(r["share"], 6), round(r["global_share"], 6), r["circle"], r["votes"]) for r in polls.poll_view(votes, options, own, totals, bounds, 1.0).collect()}
+    assert got["U1", "a"] == (0.333333, 0.5, 75, 2) and got["U1", "b"] == (0.666667, 0.5, 75, 1) and got["U1", "c"] == (0.0, 0.0, 75, 0)
+    assert got["U8", "a"] == (0.0, 0.5, 0, 0)

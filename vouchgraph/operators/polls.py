@@ -56,11 +56,51 @@ def reduced_links(scores: DataFrame, nodes: DataFrame) -> DataFrame:
     return scores.where(F.col("score") > EPSILON).join(checked(kinds, 24), "node", "left_semi").where("ego <> node").select(F.col("ego").alias("src"), F.col("node").alias("dst"))
 
 
+def zero_opinions(scores: DataFrame, nodes: DataFrame, top: int = 100) -> DataFrame:
+    """(node, score): PageRank, as a part of 1, of the top nodes over the links of :func:`reduced_links`, unweighted; ties by node."""
+    return pagerank(reduced_links(scores, nodes), top=top).select("node", (F.col("rank") / 1e12).alias("score"))
+
+
+def poll_view(votes: DataFrame, options: DataFrame, scores: DataFrame, totals: DataFrame, bounds: DataFrame, overall: float) -> DataFrame:
+    """(ego, poll, option, share, global_share, circle, votes): a poll as its readers see it.
+
+    share: of the ego's scores of other users, capped at the ego's last quantile bound (``bounds``: ego, bounds);
+    global_share: the same of ``totals`` (user, score), capped at ``overall``; circle: per cent of the ego's circle, the
+    ego included, that has voted; votes: of the circle for the option. ``votes`` and ``options`` as for
+    :func:`poll_results`; options without votes are there with 0.
+    """
+    circle = scores.where("score > 0 and ego <> user")
+    capped = circle.join(checked(bounds.select("ego", F.element_at("bounds", -1).alias("cap")), 64), "ego", "left").select("ego", "user", F.least("score", F.coalesce("cap", "score")).alias("score"))
+    egos = checked(stage(scores.select("ego").distinct(), "egos"), 32)
+    # an ego without a circle sees the options all the same
+    own = poll_results(votes, options, capped.unionByName(egos.select("ego", F.lit("").alias("user"), F.lit(0.0).alias("score")))).select("ego", "poll", "option", "share")
+    everyone = poll_results(votes, options, totals.select(F.lit("all").alias("ego"), "user", "score"), overall).select("poll", "option", F.col("share").alias("global_share"))
+    with_ego = circle.select("ego", "user", F.lit(1.0).alias("score")).unionByName(egos.select("ego", F.col("ego").alias("user"), F.lit(1.0).alias("score")))
+    counted = poll_results(votes, options, with_ego).select("ego", "poll", "option", "votes")
+    size = with_ego.groupBy("ego").agg(F.count("*").alias("size"))
+    voted = F.sum("votes").over(Window.partitionBy("ego", "poll"))
+    return own.join(everyone, ["poll", "option"], "left").join(counted, ["ego", "poll", "option"]).join(checked(size, 32), "ego").select("ego", "poll", "option", "share", F.coalesce("global_share", F.lit(0.0)).alias("global_share"), F.round(100 * voted / F.col("size")).cast("int").alias("circle"), F.col("votes").cast("int").alias("votes"))
+
+
+def rebuilt(seen: DataFrame, others: DataFrame, words: int = 1024, most: int = 1 << 20) -> DataFrame:
+    """(ego, filter, words) of one ego: :func:`bloom` over ``seen``, with twice the words until none of the ``others`` (ego, name) seems seen."""
+    unseen = stage(others.join(seen, ["ego", "name"], "left_anti"), "unseen")
+    while True:
+        found = bloom(seen, words)
+        if words >= most or maybe_seen(unseen, found, words).where("seen").isEmpty():
+            return found.withColumn("words", F.lit(words))
+        words *= 2
+
+
 def new_edges(scores: DataFrame, seen: DataFrame, prefix: str = "") -> DataFrame:
     """Scores of at least EPSILON for nodes (name) with the prefix that the ego hasn't seen (ego, name) before."""
     return scores.where(F.col("score") >= EPSILON).where(F.col("name").startswith(prefix)).join(seen, ["ego", "name"], "left_anti")
 
 
+#: Words of 64 bits that a new filter has.
+WORDS = 16
+
+
 def bloom(names: DataFrame, words: int = 1024, hashes: int = 3) -> DataFrame:
     """(ego, filter): bit positions of each ego's seen names, as a sorted array; double ``words`` when it fills up."""
     bit = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col("name")), F.lit(64 * words))
