@@ -44,6 +44,7 @@ _START = (0.35, 0.4, 0.25, 0.25)
 _BUCKETS = 24
 #: Learning rates of the weights, of the online logits, and of the refining map.
 _RATES, _MAP_RATE = np.array([[0.02], [0.5]], np.float32), np.float32(0.02)
+_MAP_KEEPS = np.float32(1) - _MAP_RATE
 _SCALE = 15.0
 _UNIT, _ONE, _HALF = np.float32(1 / _SCALE), np.float32(1), np.float32(0.5)
 _PER, _MIDDLE, _LOW, _HIGH = np.float32(_BUCKETS / 16), np.float32(_BUCKETS / 2), np.float32(0), np.float32(_BUCKETS - 0.01)
@@ -320,11 +321,11 @@ class Coder:
         if not sizes.any():
             return np.zeros(len(texts))
         logits, which = self._placed(a, starts)
-        slots, context = [], np.zeros(len(a), np.uint32)
+        slots, context = np.empty((len(a), len(ONLINE), 2), np.uint16), np.zeros(len(a), np.uint32)
         for k in range(1, max(ONLINE) + 1):
             context[k:] |= a[:-k].astype(np.uint32) << np.uint32(8 * k - 8)
             if k in ONLINE:
-                slots.append(groups_of(context, a, k))
+                slots[:, ONLINE.index(k), 0], slots[:, ONLINE.index(k), 1] = groups_of(context, a, k)
         cost = np.zeros(len(texts))
         order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
         for k in range(0, len(order), LANES):
@@ -332,7 +333,7 @@ class Coder:
             cost[part] = self._lanes(a, logits, which, slots, starts[part], sizes[part])
         return cost
 
-    def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, slots: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, slots: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Bits of texts of falling length: in each step one byte of every text that has it.
 
         The eight bits of a byte have weights and online slots of their own, so they are mixed at once; only
@@ -358,24 +359,22 @@ class Coder:
                 x, q = np.empty((8, m), f), np.empty((8, m), f)
                 mine, cell, step, chance = np.empty((online, 8, m), np.int64), np.empty((8, m), np.int64), np.empty(m, f), np.empty(m, f)
                 rows, w = row[:m], weights[:, :, :m]
-                place = (np.arange(online)[:, None] * lanes + rows) * size
-                ones, nodes, base = np.empty((8, m), f), np.empty((8, m), np.int64), np.empty(m, np.int64)
+                place = (np.arange(online)[:, None, None] * lanes + rows) * size
+                ones, nodes, base, drawn = np.empty((8, m), f), np.empty((8, m), np.int64), np.empty((online, 2, m), np.int64), np.empty((8, m), f)
             at = first[:m] + s
             byte = a[at]
             np.take(_BITS, byte, axis=1, out=ones, mode="clip")
             np.multiply(logits[which[at]].T.reshape(k, 8, m), _UNIT, out=z[:k])
             np.take(_NODES, byte, axis=1, out=nodes, mode="clip")
-            for i, pair in enumerate(slots):
-                for half, group in zip((slice(0, 4), slice(4, 8)), pair):
-                    np.multiply(group[at], 16, out=base, casting="unsafe")
-                    base += place[i]
-                    np.add(nodes[half], base, out=mine[i, half])
+            np.multiply(slots[at].transpose(1, 2, 0), 16, out=base, casting="unsafe")
+            base += place
+            np.add(nodes.reshape(2, 4, m), base[:, :, None], out=mine.reshape(online, 2, 4, m))
             np.take(own, mine, out=z[k:], mode="clip")
             np.multiply(w, z, out=zw)
             np.add.reduce(zw, axis=0, out=xs[0])
-            xs[1:] = z[k:]
             np.multiply(xs[0], _PER, out=x)
-            np.negative(xs, out=xs)
+            np.negative(xs[0], out=xs[0])
+            np.negative(z[k:], out=xs[1:])
             np.exp(xs, out=xs)
             xs += _ONE
             np.reciprocal(xs, out=xs)  # probability of a one: mixed, and by what the text itself taught
@@ -392,11 +391,11 @@ class Coder:
             cell[:] = x
             cell *= lanes
             cell += rows
+            np.multiply(ones, _MAP_RATE, out=drawn)
             for j in range(8):
                 np.take(refine, cell[j], out=q[j], mode="clip")
-                np.subtract(ones[j], q[j], out=step)
-                step *= _MAP_RATE
-                step += q[j]
+                np.multiply(q[j], _MAP_KEEPS, out=step)
+                step += drawn[j]
                 refine[cell[j]] = step
             np.add(xs[0], q, out=x)
             x *= _HALF
