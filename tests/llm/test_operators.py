@@ -7,6 +7,7 @@ import gzip
 import html.parser
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -471,6 +472,32 @@ def test_lm_groups_texts_of_similar_length(spark):
     assert by == {0: 10, 1: 10, 2: 10, 3: 10, 4: 10, 5: 11, 6: 16, 7: 10}
 
 
+def test_lm_lays_out_slots_block_by_block():
+    rng = random.Random(17)
+    texts = [bytes(rng.choices(b"abcd", k=3000)) for _ in range(1000)]
+    coder = lm.Coder(lm.Table(np.zeros(0, np.int64), np.zeros(0, np.int8)))
+    tracemalloc.start()
+    try:
+        coder.bits(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25 * sum(map(len, texts))  # some 17; with the slots of all bytes at once 33
+
+
+def test_lm_texts_that_end_within_a_block(spark, monkeypatch):
+    rng = random.Random(16)
+    texts = [bytes(rng.choice(b"the of and") for _ in range(n)) for n in (1, lm.BLOCK - 1, lm.BLOCK, 0, lm.BLOCK + 1, 3 * lm.BLOCK + 5, 2)]
+    table = lm.train(corpus(spark, 30))
+    whole = lm.Coder(table).bits(texts)
+    assert whole == pytest.approx([_slow_lm(table, t) for t in texts], rel=2e-3, abs=0.2)
+    assert np.array_equal(whole, [lm.Coder(table).bits([t])[0] for t in texts])
+    for lanes, block in ((2, 16), (1024, 1), (3, 7)):
+        monkeypatch.setattr(lm, "LANES", lanes)
+        monkeypatch.setattr(lm, "BLOCK", block)
+        assert np.array_equal(lm.Coder(table).bits(texts), whole)
+
+
 def test_lm_scores(spark):
     docs = corpus(spark)
     got = lm.score(docs)

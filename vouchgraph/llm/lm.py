@@ -33,8 +33,8 @@ SLOT_BITS = (32, 40)
 ONLINE = (1, 2)
 #: Bits of the number of groups, of 16 slots each, that such a predictor has; contexts that meet there share them.
 ONLINE_BITS = 8
-#: Texts coded in step; only speed depends on it.
-LANES = 2048
+#: Texts coded in step, and bytes of each that are laid out at once; only speed and memory depend on them.
+LANES, BLOCK = 1024, 16
 #: Bytes of text whose documents look up their grams and are coded together.
 GROUP_BYTES = 16 << 20
 #: Texts below this power of two of bytes are grouped as if of one length, longer ones by the power of two below.
@@ -44,10 +44,12 @@ _START = (0.35, 0.4, 0.25, 0.25)
 _BUCKETS = 24
 #: Learning rates of the weights, of the online logits, and of the refining map.
 _RATES, _MAP_RATE = np.array([[0.02], [0.5]], np.float32), np.float32(0.02)
-_MAP_KEEPS = np.float32(1) - _MAP_RATE
 _SCALE = 15.0
-_UNIT, _ONE, _HALF = np.float32(1 / _SCALE), np.float32(1), np.float32(0.5)
-_PER, _MIDDLE, _LOW, _HIGH = np.float32(_BUCKETS / 16), np.float32(_BUCKETS / 2), np.float32(0), np.float32(_BUCKETS - 0.01)
+_HIGH = np.float32(_BUCKETS - 0.01)
+#: Constants of a step as arrays without axes, which numpy takes faster than scalars.
+_MIXES, _LEARNS = _RATES[0].reshape(()), _RATES[1].reshape(())
+_DRAWS, _KEEPS, _UNIT, _ONE, _HALF = (np.array(x, np.float32) for x in (_MAP_RATE, np.float32(1) - _MAP_RATE, 1 / _SCALE, 1, 0.5))
+_PER, _MIDDLE = np.array(_BUCKETS / 16, np.float32), np.array(_BUCKETS / 2, np.float32)
 _SPREAD = np.uint64(1)
 _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 _FLOOR = np.float32(1 / 4096)
@@ -77,9 +79,9 @@ def groups_of(context: np.ndarray, byte: np.ndarray, order: int) -> tuple[np.nda
     return ((h >> shift) * two).astype(np.uint16), ((both >> shift) * two + np.uint32(1)).astype(np.uint16)
 
 
-#: By bit and byte: the slot within its group, and the bit itself.
-_NODES = np.array([[((x >> 4 if j < 4 else x & 15) | 16) >> (4 - j % 4) for x in range(256)] for j in range(8)], dtype=np.int64)
-_BITS = np.array([[x >> (7 - j) & 1 for x in range(256)] for j in range(8)], dtype=np.float32)
+#: By group and four bits (16 * group + bits): the slots of these bits. By byte: its bits.
+_CELLS = np.array([[16 * g + ((x | 16) >> (4 - j)) for j in range(4)] for g in range(1 << ONLINE_BITS) for x in range(16)], dtype=np.int64)
+_BITS = np.array([[x >> (7 - j) & 1 for j in range(8)] for x in range(256)], dtype=np.float32)
 
 
 def _lay_out(texts: list[bytes]) -> np.ndarray:
@@ -200,12 +202,12 @@ class Table:
         return np.where(self.keys[i] == key, self.values[i], np.int8(0))
 
     def rows(self, gram: np.ndarray) -> np.ndarray:
-        """Logits on the way to each 5-gram's last byte, by order and bit."""
-        out = np.empty((len(gram), len(ORDERS), 8), np.int8)
+        """Logits on the way to each 5-gram's last byte, by order, gram and bit."""
+        out = np.empty((len(ORDERS), len(gram), 8), np.int8)
         for i, order in enumerate(ORDERS):
             base = _base(order, (gram >> 8).astype(np.uint32)).astype(np.int64) + _OFFSETS[i]
             for j in range(8):
-                out[:, i, j] = self[base + (((gram & 255) | 256) >> (8 - j))]
+                out[i, :, j] = self[base + (((gram & 255) | 256) >> (8 - j))]
         return out
 
 
@@ -221,15 +223,15 @@ class Group:
         return self.keys[np.searchsorted(self.keys, ORDERS[-1] << _TAG) :] & ((1 << _TAG) - 1)
 
     def rows(self, gram: np.ndarray) -> np.ndarray:
-        """Logits on the way to each 5-gram's last byte, by order and bit."""
-        out = np.empty((len(gram), len(ORDERS)), np.int64)
+        """Logits on the way to each 5-gram's last byte, by order, gram and bit."""
+        out = np.empty((len(ORDERS), len(gram)), np.int64)
         for i, order in enumerate(ORDERS):
             key = _gram(order, gram) | (order << _TAG)
             at = np.searchsorted(self.keys, key)
             if len(key) and (at[-1] >= len(self.keys) or not np.array_equal(self.keys[np.minimum(at, len(self.keys) - 1)], key)):
                 raise ValueError("a gram of the documents wasn't counted: the input changed between two reads")
-            out[:, i] = self.values[at]
-        return out.view(np.int8).reshape(len(gram), len(ORDERS), 8)
+            out[i] = self.values[at]
+        return out.view(np.int8).reshape(len(ORDERS), len(gram), 8)
 
 
 def train(docs: DataFrame) -> Table:
@@ -290,7 +292,7 @@ class Coder:
         self.table = table
 
     def _placed(self, a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of distinct 5-grams, and which of them ends in each of the laid out bytes."""
+        """Logits of distinct 5-grams by order, eight as one integer, and which gram ends in each of the laid out bytes."""
         step = 1 << 20
 
         def grams(k: int) -> np.ndarray:
@@ -311,7 +313,7 @@ class Coder:
             which[starts - j] = which[len(a) - j] = 0  # what lies between texts is never coded
         if len(keys) and which.min() < 0:
             raise ValueError("a gram of the documents wasn't counted: the input changed between two reads")
-        return self.table.rows(keys).reshape(len(keys), -1), which
+        return self.table.rows(keys).view(np.int64)[:, :, 0], which
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text."""
@@ -321,89 +323,103 @@ class Coder:
         if not sizes.any():
             return np.zeros(len(texts))
         logits, which = self._placed(a, starts)
-        slots, context = np.empty((len(a), len(ONLINE), 2), np.uint16), np.zeros(len(a), np.uint32)
-        for k in range(1, max(ONLINE) + 1):
-            context[k:] |= a[:-k].astype(np.uint32) << np.uint32(8 * k - 8)
-            if k in ONLINE:
-                slots[:, ONLINE.index(k), 0], slots[:, ONLINE.index(k), 1] = groups_of(context, a, k)
         cost = np.zeros(len(texts))
         order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
         for k in range(0, len(order), LANES):
             part = order[k : k + LANES]
-            cost[part] = self._lanes(a, logits, which, slots, starts[part], sizes[part])
+            cost[part] = self._lanes(a, logits, which, starts[part], sizes[part])
         return cost
 
-    def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, slots: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _lanes(self, a: np.ndarray, logits: np.ndarray, which: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Bits of texts of falling length: in each step one byte of every text that has it.
 
         The eight bits of a byte have weights and online slots of their own, so they are mixed at once; only
-        the refining map goes bit by bit.
+        the refining map goes bit by bit. A byte's bits lie side by side, so its slots are read a cache line a group;
+        the map has its bits one after the other. A text that ends within a block goes on to the block's end with
+        what follows it, uncounted.
         """
         lanes, k, online = len(first), len(ORDERS), len(ONLINE)
-        f = np.float32
-        weights = np.empty((k + online, 8, lanes), f)
+        f, before = np.float32, max(ONLINE)
+        weights = np.empty((k + online, lanes, 8), f)
         weights[:] = np.array(_START, f)[:, None, None]
         size = 16 << ONLINE_BITS
         own = np.zeros(online * lanes * size, f)  # by predictor, text, slot: a byte of a text touches two cache lines
         middle = (np.arange(_BUCKETS, dtype=np.float64) + 0.5) / _BUCKETS * 16 - 8
         refine = np.repeat((1 / (1 + np.exp(-middle))).astype(f), lanes)  # by bucket, then text: most lie in few buckets
-        row = np.arange(lanes)
+        row, width = np.arange(lanes), np.array(lanes, f)
         cost = np.zeros(lanes)
-        active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), side="left")
+        active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), side="left").tolist()
         m = -1
-        for s, now in enumerate(active.tolist()):
-            if now != m:  # texts have ended: narrower buffers
-                m = now
-                z, zw = np.empty((k + online, 8, m), f), np.empty((k + online, 8, m), f)
-                xs, err = np.empty((1 + online, 8, m), f), np.empty((1 + online, 8, m), f)
-                x, q = np.empty((8, m), f), np.empty((8, m), f)
-                mine, cell, step, chance = np.empty((online, 8, m), np.int64), np.empty((8, m), np.int64), np.empty(m, f), np.empty(m, f)
-                rows, w = row[:m], weights[:, :, :m]
-                place = (np.arange(online)[:, None, None] * lanes + rows) * size
-                ones, nodes, base, drawn = np.empty((8, m), f), np.empty((8, m), np.int64), np.empty((online, 2, m), np.int64), np.empty((8, m), f)
-            at = first[:m] + s
-            byte = a[at]
-            np.take(_BITS, byte, axis=1, out=ones, mode="clip")
-            np.multiply(logits[which[at]].T.reshape(k, 8, m), _UNIT, out=z[:k])
-            np.take(_NODES, byte, axis=1, out=nodes, mode="clip")
-            np.multiply(slots[at].transpose(1, 2, 0), 16, out=base, casting="unsafe")
-            base += place
-            np.add(nodes.reshape(2, 4, m), base[:, :, None], out=mine.reshape(online, 2, 4, m))
-            np.take(own, mine, out=z[k:], mode="clip")
-            np.multiply(w, z, out=zw)
-            np.add.reduce(zw, axis=0, out=xs[0])
-            np.multiply(xs[0], _PER, out=x)
-            np.negative(xs[0], out=xs[0])
-            np.negative(z[k:], out=xs[1:])
-            np.exp(xs, out=xs)
-            xs += _ONE
-            np.reciprocal(xs, out=xs)  # probability of a one: mixed, and by what the text itself taught
-            np.subtract(ones, xs, out=err)
-            err[0] *= _RATES[0, 0]
-            err[1:] *= _RATES[1, 0]
-            np.multiply(z, err[0], out=zw)
-            w += zw
-            np.add(z[k:], err[1:], out=z[k:])
-            own[mine] = z[k:]
-            x += _MIDDLE
-            np.maximum(x, _LOW, out=x)
-            np.minimum(x, _HIGH, out=x)
-            cell[:] = x
-            cell *= lanes
-            cell += rows
-            np.multiply(ones, _MAP_RATE, out=drawn)
-            for j in range(8):
-                np.take(refine, cell[j], out=q[j], mode="clip")
-                np.multiply(q[j], _MAP_KEEPS, out=step)
-                step += drawn[j]
-                refine[cell[j]] = step
-            np.add(xs[0], q, out=x)
-            x *= _HALF
-            x -= _ONE - ones
-            np.abs(x, out=x)  # what the bit that came had been given
-            np.maximum(x, _FLOOR, out=x)
-            np.multiply.reduce(x, axis=0, out=chance)
-            cost[:m] -= np.log2(chance)
+        for s in range(0, len(active), BLOCK):
+            if active[s] != m:  # texts have ended: narrower buffers
+                m = active[s]
+                z, zw, xs = np.empty((k + online, m, 8), f), np.empty((k + online, m, 8), f), np.empty((1 + online, m, 8), f)
+                known, learnt, found, ones = z[:k], z[k:], np.empty((k, m), np.int64), np.empty((m, 8), f)
+                mine, rows, w = np.empty((online, m, 8), np.int64), row[:m], weights[:, :m]
+                cells, eights = mine.reshape(online, m, 2, 4), found.view(np.int8).reshape(k, m, 8)
+                place = np.repeat((np.arange(online)[:, None] * lanes + rows) * size, 8, axis=1).reshape(online, m, 8)
+                x, p, q, bit, drawn = (np.empty((8, m), f) for _ in range(5))
+                cell, step, chance = np.empty((8, m), np.int64), np.empty(m, f), np.empty(m, f)
+                lowest, highest, least = (np.full((8, m), v, f) for v in (0, _HIGH, _FLOOR))
+                texts = np.tile(rows.astype(f), (8, 1))
+                by_bit = list(zip(cell, q, drawn, strict=True))
+            at = np.minimum(first[:m] + np.arange(s - before, s + BLOCK)[:, None], len(a) - 1)
+            seen, grams = a.take(at), which.take(at[before:])
+            bytes_, context = seen[before:], np.zeros((BLOCK, m), np.uint32)
+            slots = np.empty((BLOCK, online, m, 2), np.uint16)
+            for j in range(1, before + 1):
+                context |= seen[before - j : -j].astype(np.uint32) << np.uint32(8 * j - 8)
+                if j in ONLINE:
+                    high, low = groups_of(context, bytes_, j)
+                    slots[:, ONLINE.index(j), :, 0] = (high << np.uint16(4)) | (bytes_ >> 4)
+                    slots[:, ONLINE.index(j), :, 1] = (low << np.uint16(4)) | (bytes_ & 15)
+            for byte, gram, slot, now in zip(bytes_, grams, slots, active[s : s + BLOCK]):
+                _BITS.take(byte, 0, ones, "clip")
+                for i in range(k):
+                    logits[i].take(gram, None, found[i], "clip")
+                np.multiply(eights, _UNIT, out=known)
+                _CELLS.take(slot, 0, cells, "clip")
+                np.add(mine, place, out=mine)
+                own.take(mine, None, learnt, "clip")
+                np.multiply(w, z, out=zw)
+                np.add.reduce(zw, axis=0, out=xs[0])
+                x[:] = xs[0].T
+                np.negative(xs[0], out=xs[0])
+                np.negative(learnt, out=xs[1:])
+                np.exp(xs, out=xs)
+                xs += _ONE
+                np.reciprocal(xs, out=xs)  # probability of a one: mixed, and by what the text itself taught
+                p[:] = xs[0].T
+                np.subtract(ones, xs, out=xs)
+                xs[0] *= _MIXES
+                xs[1:] *= _LEARNS
+                np.multiply(z, xs[0], out=zw)
+                w += zw
+                learnt += xs[1:]
+                own[mine] = learnt
+                x *= _PER
+                x += _MIDDLE
+                np.maximum(x, lowest, out=x)
+                np.minimum(x, highest, out=x)
+                np.trunc(x, out=x)
+                x *= width
+                x += texts
+                cell[:] = x  # whole numbers below 2^24, exact as floats
+                bit[:] = ones.T
+                np.multiply(bit, _DRAWS, out=drawn)
+                for c, refined, d in by_bit:
+                    refine.take(c, None, refined, "clip")
+                    np.multiply(refined, _KEEPS, out=step)
+                    step += d
+                    refine[c] = step
+                p += q
+                p *= _HALF
+                np.subtract(_ONE, bit, out=bit)
+                p -= bit
+                np.abs(p, out=p)  # what the bit that came had been given
+                np.maximum(p, least, out=p)
+                np.multiply.reduce(p, axis=0, out=chance)
+                cost[:now] -= np.log2(chance[:now])
         return cost
 
 
