@@ -299,6 +299,22 @@ def test_exact_is_for_small_graphs():
         kernel.exact(np.array([0]), np.array([1]), np.array([1.0]), 0, kernel.EXACT_NODES + 1, 0.85)
 
 
+def test_exact_beyond_dense_graphs(spark, monkeypatch):
+    core = [("U0", "U1", 2), ("U1", "U2", 3), ("U2", "U0", -1), ("U1", "U0", 1), ("U2", "U1", 4)]
+    g = engine(spark, [*core, *((f"U{i}", "U0", 1) for i in range(3, kernel.EXACT_NODES + 10))]).graph_of()
+    small = engine(spark, core).graph_of()
+    want = {r["node"]: r["score"] for r in small.exact(small.node_id("U0")).collect()}
+    got = {r["node"]: r["score"] for r in g.exact(g.node_id("U0")).collect()}
+    assert len(got) == kernel.EXACT_NODES + 10 and {k: got[k] for k in want} == pytest.approx(want, abs=1e-12)
+    assert not any(v for k, v in got.items() if k not in want)
+    rand = np.random.default_rng(5)
+    edges = {(int(a), int(b)): int(w) for a, b, w in zip(rand.integers(0, 40, 300), rand.integers(0, 40, 300), rand.choice([-2, 1, 3], 300)) if a != b}
+    g = engine(spark, [(f"U{a}", f"U{b}", w) for (a, b), w in edges.items()]).graph_of()
+    dense = [r["score"] for r in g.exact(3).orderBy("node").collect()]
+    monkeypatch.setattr(kernel, "EXACT_NODES", 10)
+    assert [r["score"] for r in g.exact(3).orderBy("node").collect()] == pytest.approx(dense, abs=1e-12)
+
+
 def test_two_hops(spark):
     e = contexts.last_write(contexts.route(ops(spark, [("U1", "B1", -1), ("B1", "U2", 1), ("U1", "U3", 3), ("B1", "U1", 1)])))
     assert {r["dst"]: r["weight"] for r in neighbors.focus_neighbors(e, "U1").collect()} == pytest.approx({"U2": -0.125, "U3": 0.75})

@@ -10,6 +10,8 @@ from . import rng
 CHUNK = 10_000
 #: Largest graph that :func:`exact` takes.
 EXACT_NODES = 5_000
+#: Numbers that one step of a block of :meth:`Powers.diagonal` holds.
+_CELLS = 4_000_000
 
 
 class Adjacency:
@@ -87,3 +89,63 @@ def exact(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, ego: int, nodes:
     plus = g[ego] / np.diag(g)
     minus = (g[ego] @ share(neg, all_)) @ (h / np.diag(h))
     return (plus - minus) / (plus + minus).sum()
+
+
+class Powers:
+    """Sums of the powers of a sparse matrix whose rows sum to alpha at most, a few rows at a time: (1 - A)^-1 without its n^2 numbers."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, share: np.ndarray, nodes: int, alpha: float) -> None:
+        order = np.argsort(dst, kind="stable")
+        self.src, self.share, self.nodes = src[order], share[order], nodes
+        self.to, self.first = np.unique(dst[order], return_index=True)
+        self.rounds = int(np.ceil(np.log(1e-17) / np.log(alpha)))
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """Rows ``x`` times the matrix."""
+        out = np.zeros_like(x)
+        if len(self.src):
+            out[:, self.to] = np.add.reduceat(x[:, self.src] * self.share, self.first, axis=1)
+        return out
+
+    def summed(self, x: np.ndarray) -> np.ndarray:
+        """Row ``x`` times (1 - A)^-1."""
+        total, x = x.copy(), x[None, :]
+        for _ in range(self.rounds):
+            x = self.times(x)
+            if not x.any():
+                break
+            total += x[0]
+        return total
+
+    def diagonal(self, nodes: np.ndarray) -> np.ndarray:
+        """(1 - A)^-1 of ``nodes`` with themselves, in blocks of rows of _CELLS numbers."""
+        out = np.ones(len(nodes))
+        step = max(1, _CELLS // max(1, self.nodes, len(self.src)))
+        for i in range(0, len(nodes), step):
+            own = nodes[i : i + step]
+            rows = np.arange(len(own))
+            x = np.zeros((len(own), self.nodes))
+            x[rows, own] = 1.0
+            for _ in range(self.rounds):
+                x = self.times(x)
+                if not x.any():
+                    break
+                out[i : i + step] += x[rows, own]
+        return out
+
+
+def powers(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, nodes: int, alpha: float) -> tuple[Powers, Powers, Powers]:
+    """Steps of a walk over signed edges: positive ones before a negative one, the negative one, and those after it."""
+    up, size = weight > 0, np.abs(weight)
+    all_, good = np.bincount(src, size, nodes), np.bincount(src[up], size[up], nodes)
+    of = lambda keep, total: Powers(src[keep], dst[keep], alpha * size[keep] / total[src[keep]], nodes, alpha)
+    return of(up, all_), of(~up, all_), of(up, good)
+
+
+def exact_by_powers(steps: tuple[Powers, Powers, Powers], ego: int, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """:func:`exact` from the diagonals ``before`` and ``after`` a negative step: two rows of sums are all it needs else."""
+    start = np.zeros(steps[0].nodes)
+    start[ego] = 1.0
+    reached = steps[0].summed(start)
+    plus, minus = reached / before, steps[2].summed(steps[1].times(reached[None, :])[0]) / after
+    return (plus - minus) / (plus + minus).sum()

@@ -102,6 +102,48 @@ def joined_hits(edges: DataFrame, egos: DataFrame, settings: Settings = Settings
     return once.groupBy("ego", "node").agg(F.count_if(F.col("phase") == 0).alias("pos_hits"), F.count_if(F.col("phase") == 1).alias("neg_hits"))
 
 
+def reachable(edges: DataFrame, ego: int) -> DataFrame:
+    """(node): the ego and all that walks from it can visit, found hop by hop, a written table each."""
+    seen = front = stage(edges.sparkSession.range(ego, ego + 1, 1, 1).select(F.col("id").alias("node")), "reached")
+    hop = edges.select("src_id", "dst_id")
+    while not front.isEmpty():
+        met = hop.join(checked(front.select(F.col("node").alias("src_id")), 16), "src_id", "left_semi").select(F.col("dst_id").alias("node")).distinct()
+        front = stage(met.join(checked(seen, 16), "node", "left_anti"), "front")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def exact(edges: DataFrame, ego: int, alpha: float) -> DataFrame:
+    """(node, score): the limit of raw scores, of the nodes that walks from the ego can visit.
+
+    Up to kernel.EXACT_NODES of them are solved densely on the driver. Of more, each node needs a sum of powers of
+    its own, quadratic work by nature: tasks take a few nodes at a time, with the edges in every task and memory that
+    doesn't grow with the number of pairs.
+    """
+    spark = edges.sparkSession
+    seen = reachable(edges, ego)
+    t = edges.join(checked(seen.select(F.col("node").alias("src_id")), 16), "src_id", "left_semi").toArrow()
+    s, d, w = (t.column(c).to_numpy() for c in ("src_id", "dst_id", "w"))
+    signed = np.where(t.column("negative").to_numpy(zero_copy_only=False), -w, w) / 1e6
+    ids = np.unique(np.concatenate([s, d, [ego]]))
+    n, me, s, d = len(ids), int(np.searchsorted(ids, ego)), np.searchsorted(ids, s), np.searchsorted(ids, d)
+    if n <= kernel.EXACT_NODES:
+        found = kernel.exact(s, d, signed, me, n, alpha)
+    else:
+        steps = kernel.powers(s, d, signed, n, alpha)
+        bc = spark.sparkContext.broadcast(steps)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                node = b.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, bc.value[0].diagonal(node), bc.value[2].diagonal(node))], ["id", "before", "after"])
+
+        both = spark.range(n).repartition(4 * spark.sparkContext.defaultParallelism, "id").mapInArrow(run, "id long, before double, after double").toArrow()
+        order = np.argsort(both.column("id").to_numpy())
+        found = kernel.exact_by_powers(steps, me, *(both.column(c).to_numpy()[order] for c in ("before", "after")))
+    return spark.createDataFrame(pa.table({"node": ids, "score": found}))
+
+
 def touched(visits: DataFrame, changed: DataFrame) -> DataFrame:
     """Egos whose walks must be redone after an edge of ``changed`` (src) changed: those that ever hit a source."""
     return visits.join(changed.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("ego").distinct()

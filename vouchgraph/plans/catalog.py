@@ -423,7 +423,7 @@ def all_egos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The limit that walks approach, by dense solves, for graphs of a few thousand nodes."""
+    """The limit that walks approach, by dense solves over the nodes that they can visit."""
     g = _user_graph(spark, sf)
     return g.exact(g.node_id(EGOS[0]))
 

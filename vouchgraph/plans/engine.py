@@ -10,11 +10,9 @@ import functools
 from collections import OrderedDict
 from functools import cached_property
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernel
 from ..operators import contexts, decay, neighbors, paths, registry, scores, walks
 from ..settings import EPSILON, Settings
 from ..sources import oplog
@@ -133,14 +131,10 @@ class TrustGraph:
             self._hits.popitem()[1].unpersist()
 
     def exact(self, ego: int) -> DataFrame:
-        """(node, score): the limit that raw scores approach; an error for graphs of more than kernel.EXACT_NODES nodes."""
-        n = self.nodes.count()
-        if n > kernel.EXACT_NODES:
-            raise ValueError(f"{n} nodes are too many for dense solves; walk instead")
-        t = self.links.toArrow()
-        s, d, w = (t.column(c).to_numpy() for c in ("src_id", "dst_id", "w"))
-        signed = np.where(t.column("negative").to_numpy(zero_copy_only=False), -w, w) / 1e6
-        return self.spark.createDataFrame([(i, float(x)) for i, x in enumerate(kernel.exact(s, d, signed, ego, n, self.settings.alpha))], "node long, score double")
+        """(node, score): the limit that raw scores approach, 0 for nodes that no walk of the ego reaches."""
+        found = walks.exact(self.links, ego, self.settings.alpha)
+        every = self.nodes.select(F.col("node_id").alias("node")).join(found, "node", "left")
+        return every.select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def blended(self, hits: DataFrame) -> DataFrame:
         """(ego, node, score) with zero opinions."""
