@@ -43,8 +43,8 @@ class TrustGraph:
 
     @cached_property
     def _routed(self) -> DataFrame:
-        """This context's edge operations, written once: everything else is read from them."""
-        return staging.stage(self._from.where(F.col("context") == self.context), "routed")
+        """This context's edge operations, as the written log is routed: a copy would cost more than to route again."""
+        return self._from.where(F.col("context") == self.context)
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -64,6 +64,10 @@ class TrustGraph:
         """(src_id, dst_id, w, negative)."""
         return self._keep(walks.by_id(self.edges, self.nodes))
 
+    @cached_property
+    def network(self) -> walks.Network:
+        return walks.Network(self.links, self.settings)
+
     @cached_property
     def owners(self) -> DataFrame:
         return self._keep(registry.object_owner(self.nodes, self.edges))
@@ -80,7 +84,7 @@ class TrustGraph:
         self.clear()
         while self._kept:
             self._kept.pop().unpersist()
-        for name in ("nodes", "edges", "links", "owners", "zero"):
+        for name in ("nodes", "edges", "links", "network", "owners", "zero"):
             self.__dict__.pop(name, None)
 
     def node_id(self, name: str) -> int | None:
@@ -92,7 +96,7 @@ class TrustGraph:
 
     def calculate(self, egos: DataFrame) -> DataFrame:
         """Hits of ``egos`` (ego), all in one pass."""
-        return walks.hits(self.links, egos, self.settings)
+        return self.network.hits(egos)
 
     def hits(self, ego: int) -> DataFrame:
         """Cached hits of one ego."""
