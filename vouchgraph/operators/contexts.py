@@ -140,7 +140,7 @@ def replay(ops: DataFrame, settings: Settings | None = None) -> tuple[DataFrame,
     if later.where("kind = 'create_context'").isEmpty():
         return routed, later
     copied = seed(later, settings, load, routed).withColumn("op_idx", F.col("place") + _SEEDED)
-    return routed.unionByName(copied.select(*_OPS)), later
+    return routed.unionByName(stage(copied.select(*_OPS), "copied")), later
 
 
 def last_write(routed: DataFrame) -> DataFrame:

@@ -29,12 +29,16 @@ def first_seen(routed: DataFrame, calculated: DataFrame | None = None) -> DataFr
     object, owned by that user if it is new. ``calculated`` (context, op_idx, name) registers users by name.
     """
     by_object = kind_of(F.col("src")) != "U"
-    first = F.struct(F.when(by_object, F.col("dst")).otherwise(F.col("src")).alias("name"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("owner"))
-    second = F.struct(F.when(by_object, F.col("src")).otherwise(F.col("dst")).alias("name"), F.lit(1).alias("place"), F.when(by_object, F.col("dst")).alias("owner"))
-    seen = routed.select("context", "op_idx", F.explode(F.array(first, second)).alias("e")).select("context", (F.col("op_idx") * 2 + F.col("e.place")).alias("at"), "e.name", "e.owner")
+    first = F.struct(F.when(by_object, F.col("dst")).otherwise(F.col("src")).alias("name"), F.lit(0).alias("place"))
+    second = F.struct(F.when(by_object, F.col("src")).otherwise(F.col("dst")).alias("name"), F.lit(1).alias("place"))
+    seen = routed.select("context", "op_idx", F.explode(F.array(first, second)).alias("e")).select("context", (F.col("op_idx") * 2 + F.col("e.place")).alias("at"), "e.name")
     if calculated is not None:
-        seen = seen.unionByName(calculated.select("context", (F.col("op_idx") * 2).alias("at"), "name", F.lit(None).cast("string").alias("owner")))
-    return seen.groupBy("context", "name").agg(F.min("at").alias("at"), F.min_by("owner", "at").alias("owner"))
+        seen = seen.unionByName(calculated.select("context", (F.col("op_idx") * 2).alias("at"), "name"))
+    # sums of numbers alone are hashed; with the owner, a text, all rows would be sorted
+    found = seen.groupBy("context", "name").agg(F.min("at").alias("at"))
+    other = (F.col("src") < "U") | (F.col("src") >= "V")  # says nothing new, but lets files of users alone be skipped
+    owned = routed.where(other & by_object).groupBy("context", F.col("src").alias("name"), (F.col("op_idx") * 2 + 1).alias("at")).agg(F.min("dst").alias("owner"))
+    return found.join(owned, ["context", "name", "at"], "left").select("context", "name", "at", "owner")
 
 
 def register(routed: DataFrame, calculated: DataFrame | None = None) -> DataFrame:
