@@ -159,10 +159,18 @@ class TrustEngine:
         self._graphs: dict[str, TrustGraph] = {}
         self._before: dict[str, TrustGraph] = {}
 
+    @cached_property
+    def _log(self) -> DataFrame:
+        """The log as it was written down once."""
+        return staging.stage(self.ops, "log")
+
+    def _replay(self, context: str | None = None) -> tuple[DataFrame, DataFrame]:
+        return contexts.replay(self._log, self.settings if self.with_decay else None, context)
+
     @cached_property
     def _replayed(self) -> tuple[DataFrame, DataFrame]:
-        """Routed edge operations and the operations that still count, from the log as it was written down once."""
-        return contexts.replay(staging.stage(self.ops, "log"), self.settings if self.with_decay else None)
+        """Routed edge operations and the operations that still count."""
+        return self._replay()
 
     @property
     def routed(self) -> DataFrame:
@@ -171,7 +179,7 @@ class TrustEngine:
     def graph_of(self, context: str | None = "") -> TrustGraph:
         key = context or ""
         if key not in self._graphs:
-            g = self._graphs[key] = TrustGraph(*self._replayed, key, self.settings, self.with_decay)
+            g = self._graphs[key] = TrustGraph(*self._replay(key), key, self.settings, self.with_decay)
             g.take_over(self._before.pop(key, None))
         return self._graphs[key]
 
