@@ -11,6 +11,7 @@ from ..functions import rng
 from ..operators import contexts, paths
 from ..settings import Settings
 from .engine import TrustEngine
+from .staging import stage
 from .testgraphs import MIXED_OPS, USER_OPS, mixed_ops, user_ops
 
 EGO, FOCUS, FAR = "U1", "U3", "U99"
@@ -141,12 +142,12 @@ def all_egos_few(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _user_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return contexts.last_write(contexts.route(user_ops(spark, sf).withColumn("context", F.lit(""))))
+    return contexts.last_write(contexts.route_to(user_ops(spark, sf).withColumn("context", F.lit("")), ""))
 
 
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     """Cheapest paths from the ego to two users."""
-    edges = _user_edges(spark, sf)
+    edges = stage(_user_edges(spark, sf), "edges")
     rows = [(goal, i, n) for goal in (FOCUS, FAR) for i, n in enumerate(paths.cheapest_path(edges, EGO, goal) or [])]
     return spark.createDataFrame(rows, "goal string, position int, node string")
 
