@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import checked, stage
 from ..settings import EPSILON, Settings
 
 
@@ -44,16 +45,17 @@ def decayed(routed: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     A weight is amount * bump^magnitude. Every operation of a source prunes its other edges below
     deletion_ratio of the largest weight it ever had, so a last write survives iff it isn't within EPSILON of
-    zero and is the source's last operation or still above that share: windows over one partitioning by
-    (context, src). Only sources whose weights pass the threshold are folded in order.
+    zero and is the source's last operation or still above that share: one shuffle by (context, src), where pairs
+    are summed up and compared. Only sources whose weights pass the threshold are folded in order.
     """
-    by_src = Window.partitionBy("context", "src")
     s = F.col("amount") * F.pow(F.lit(settings.vsids_bump), F.col("magnitude"))
     rows = routed.select("context", "src", "dst", "op_idx", "amount", "magnitude", s.alias("s"))
-    marked = rows.repartition("context", "src").select("*", F.max(F.abs("s")).over(by_src).alias("most"), F.max("op_idx").over(by_src).alias("last"))
-    calm = marked.where(F.col("most") <= settings.rescale_threshold)
-    kept = calm.groupBy("context", "src", "dst").agg(F.max_by(F.struct("s", "op_idx", "most", "last"), "op_idx").alias("e")).select("context", "src", "dst", F.col("e.s").alias("weight"), "e.op_idx", "e.most", "e.last")
-    kept = kept.where(F.abs("weight") > EPSILON).where((F.col("op_idx") == F.col("last")) | (F.abs("weight") > F.col("most") * settings.deletion_ratio))
-    wild = marked.where(F.col("most") > settings.rescale_threshold).select("context", "src", "dst", "op_idx", "amount", "magnitude")
-    folded = wild.groupBy("context", "src").applyInPandas(lambda p: fold(p, settings), "context string, src string, dst string, weight double, op_idx long")
-    return kept.select("context", "src", "dst", "weight", "op_idx").unionByName(folded)
+    wild = stage(rows.groupBy("context", "src").agg(F.max(F.abs("s")).alias("most")).where(F.col("most") > settings.rescale_threshold).select("context", "src"), "wild")
+    by_src = Window.partitionBy("context", "src")
+    pairs = rows.select("context", "src", "dst", "op_idx", "s").repartition("context", "src").groupBy("context", "src", "dst").agg(F.max_by("s", "op_idx").alias("weight"), F.max("op_idx").alias("op_idx"), F.max(F.abs("s")).alias("most"))
+    marked = pairs.withColumns({"most": F.max("most").over(by_src), "last": F.max("op_idx").over(by_src)}).where(F.col("most") <= settings.rescale_threshold)
+    kept = marked.where(F.abs("weight") > EPSILON).where((F.col("op_idx") == F.col("last")) | (F.abs("weight") > F.col("most") * settings.deletion_ratio)).select("context", "src", "dst", "weight", "op_idx")
+    if wild.isEmpty():
+        return kept
+    folded = rows.drop("s").join(checked(wild, 96), ["context", "src"], "left_semi").groupBy("context", "src").applyInPandas(lambda p: fold(p, settings), "context string, src string, dst string, weight double, op_idx long")
+    return kept.unionByName(folded)

@@ -14,7 +14,7 @@ from ..settings import Settings
 from ..sources import oplog
 from . import histories, reads
 from .engine import TrustEngine
-from .staging import shared_dir
+from .staging import shared_dir, stage
 from .testgraphs import MIXED_OPS, USER_OPS, mixed_ops, user_ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,7 @@ edges AS (SELECT * FROM last WHERE abs(weight) > 1e-6)"""
 
 def edges_decay(spark: SparkSession, sf: str) -> DataFrame:
     settings = Settings(vsids_bump=1.3, deletion_ratio=0.05)
-    return decay.decayed(contexts.route(user_ops(spark, sf)), settings).select("context", "src", "dst", F.round("weight", 4).alias("weight"))
+    return decay.decayed(contexts.route(stage(user_ops(spark, sf), "log")), settings).select("context", "src", "dst", F.round("weight", 4).alias("weight"))
 
 
 _DECAY = """
