@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import kind_of
+from ..functions.expr import KINDS, kind_of
 from ..plans.staging import checked, stage
 from ..settings import EPSILON, Settings
 from . import decay, registry
@@ -28,6 +28,14 @@ def _aggregate(ops: DataFrame) -> DataFrame:
     return ops.sparkSession.range(0, 1, 1, 1).select(F.lit("").alias("context"))
 
 
+def _pairs() -> tuple[Column, Column]:
+    """Whether an edge is between users, or between a user and an object, by cheap comparisons: filters repeat them."""
+    user = lambda c: F.col(c).startswith("U")
+    object_ = lambda c: F.substring(c, 1, 1).isin("B", "C", "O")
+    differ = F.col("src") != F.col("dst")
+    return differ & user("src") & user("dst"), differ & ((user("src") & object_("dst")) | (object_("src") & user("dst")))
+
+
 def classify(ops: DataFrame) -> DataFrame:
     """``ops`` with route: "users" (user to user), "object", "ignored" (votes), or "rejected".
 
@@ -69,7 +77,7 @@ def births(ops: DataFrame, load: DataFrame | None = None) -> DataFrame:
 
     Self edges, votes and other pairs with polls open no context; any other operation that names one does.
     """
-    poll = lambda c: F.coalesce(kind_of(F.col(c)).isin("V", "P"), F.lit(False))
+    poll = lambda c: F.coalesce(F.col(c).startswith("V") | F.col(c).startswith("P"), F.lit(False))
     edge = F.col("kind").isin("edge", "delete_edge") & (F.col("src") != F.col("dst")) & ~poll("src") & ~poll("dst")
     found = ops.where(edge | F.col("kind").isin("create_context", "delete_node", "zero_opinion", "calculate")).groupBy("context").agg(F.min("op_idx").alias("born"))
     always = _aggregate(ops)
@@ -84,24 +92,23 @@ def route(ops: DataFrame, load: DataFrame | None = None) -> DataFrame:
     context and to "". A context that an edge creates doesn't get earlier edges; see :func:`seed`. Contexts of a
     bulk ``load`` that came before are there from the start.
     """
-    edges = classify(ops.where("kind in ('edge', 'delete_edge')").withColumn("amount", F.when(F.col("kind") == "delete_edge", 0.0).otherwise(F.col("amount"))))
+    edges = ops.where("kind in ('edge', 'delete_edge')").withColumn("amount", F.when(F.col("kind") == "delete_edge", 0.0).otherwise(F.col("amount")))
+    both, mixed = _pairs()
     born = checked(stage(births(ops, load), "births"), 64)
-    users = edges.where("route = 'users'").drop("context").join(born, F.col("born") <= F.col("op_idx"))
-    objects = edges.where("route = 'object'").withColumn("context", F.explode(F.array_distinct(F.array(F.col("context"), F.lit("")))))
+    users = edges.where(both).drop("context").join(born, F.col("born") <= F.col("op_idx"))
+    objects = edges.where(mixed).withColumn("context", F.explode(F.array_distinct(F.array(F.col("context"), F.lit("")))))
     return users.select(*_OPS).unionByName(objects.select(*_OPS))
 
 
 def route_to(ops: DataFrame, context: str, load: DataFrame | None = None) -> DataFrame:
     """:func:`route`, of one context alone: one pass, without joins or copies."""
-    user = lambda c: F.col(c).startswith("U")
-    object_ = lambda c: F.substring(c, 1, 1).isin("B", "C", "O")
-    both, mixed = user("src") & user("dst"), (user("src") & object_("dst")) | (object_("src") & user("dst"))
+    both, mixed = _pairs()
     if context:
         born = births(ops, load).where(F.col("context") == context).first()
         if born is None:
             return ops.select(*_OPS).limit(0)
         both, mixed = both & (F.col("op_idx") >= born["born"]), mixed & (F.col("context") == context)
-    edges = ops.where("kind in ('edge', 'delete_edge')").where(F.col("src") != F.col("dst")).where(both | mixed)
+    edges = ops.where("kind in ('edge', 'delete_edge')").where(both | mixed)
     amount = F.when(F.col("kind") == "delete_edge", 0.0).otherwise(F.col("amount"))
     return edges.withColumns({"amount": amount, "context": F.lit(context)}).select(*_OPS)
 
@@ -133,9 +140,10 @@ def bulk(ops: DataFrame) -> DataFrame:
     User edges come first, then the rest, each in the order given, all before any later operation. Votes are
     edges here; self edges, unknown kinds and object to object are dropped, though their contexts are made.
     """
-    s, d = _kinds()
-    ok = ops.where(s.isNotNull() & d.isNotNull() & (F.col("src") != F.col("dst")) & ((s == "U") | (d == "U")))
-    both = (s == "U") & (d == "U")
+    s, d = F.col("src").startswith("U"), F.col("dst").startswith("U")
+    known = F.substring("src", 1, 1).isin(*KINDS) & F.substring("dst", 1, 1).isin(*KINDS)
+    ok = ops.where((F.col("src") != F.col("dst")) & (s | d) & known)
+    both = s & d
     contexts = ops.select("context").union(_aggregate(ops)).distinct()
     users = ok.where(both).drop("context").withColumn("op_idx", F.col("op_idx") + _LOADED).crossJoin(checked(stage(contexts, "contexts"), 64))
     objects = ok.where(~both).withColumn("context", F.explode(F.array_distinct(F.array(F.col("context"), F.lit("")))))
